@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import media, mixing, quality_rules
+from sparkloom.llm import media, mixing, packing, quality_rules, simhash
 from sparkloom.llm.oracles import ORACLES
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": lambda spark, d: media.media_round_trip(_docs(spark, d)),
+    "op4_packing": lambda spark, d: packing.pack(_docs(spark, d), tokenizer_path()),
+    "op5_simhash_near_dedup": lambda spark, d: simhash.near_duplicates(_docs(spark, d)),
     "op6_source_mixing": lambda spark, d: mixing.mix(_docs(spark, d)),
     "op10_quality_rules": lambda spark, d: quality_rules.quality_metrics(_docs(spark, d)),
 }
