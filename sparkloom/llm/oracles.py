@@ -68,4 +68,29 @@ SELECT doc_id, cast(n_words AS bigint) AS n_words, cast(word_chars AS bigint) AS
 FROM f
 """
 
-ORACLES = {"op6_source_mixing": OP6, "op10_quality_rules": OP10}
+OP7 = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT rid, p, md5(substr(h, 2 * p + 1, 400)) AS k
+  FROM (SELECT rid, h, unnest(range(0, len(h) // 2 - 199)) AS p FROM d)
+), r AS (
+  SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1
+), g AS (
+  SELECT rid, p, sum(fresh) OVER (PARTITION BY rid ORDER BY p) AS run FROM (
+    SELECT rid, p, CASE WHEN p - lag(p) OVER (PARTITION BY rid ORDER BY p) <= 200 THEN 0 ELSE 1 END AS fresh FROM r)
+), s AS (
+  SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before
+  FROM (SELECT rid, run, min(p) AS a, max(p) + 200 AS b FROM g GROUP BY rid, run)
+), k AS (
+  SELECT rid, count(*) AS n, sum(b - a) AS gone, max(b) AS last,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+  FROM s JOIN d USING (rid) GROUP BY rid
+)
+SELECT doc_id, cast(len(h) // 2 AS bigint) AS n_bytes, cast(coalesce(gone, 0) AS bigint) AS n_removed,
+       cast(coalesce(n, 0) AS bigint) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""
+
+ORACLES = {"op6_source_mixing": OP6, "op7_substring_dedup": OP7, "op10_quality_rules": OP10}

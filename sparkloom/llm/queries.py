@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import media, mixing, packing, quality_rules, simhash
+from sparkloom.llm import media, mixing, packing, quality_rules, simhash, substring_dedup
 from sparkloom.llm.oracles import ORACLES
 
 
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": lambda spark, d: packing.pack(_docs(spark, d), tokenizer_path()),
     "op5_simhash_near_dedup": lambda spark, d: simhash.near_duplicates(_docs(spark, d)),
     "op6_source_mixing": lambda spark, d: mixing.mix(_docs(spark, d)),
+    "op7_substring_dedup": lambda spark, d: substring_dedup.removal_report(_docs(spark, d)),
     "op10_quality_rules": lambda spark, d: quality_rules.quality_metrics(_docs(spark, d)),
 }
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
