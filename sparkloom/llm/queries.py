@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import lm, media, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
+from sparkloom.llm import licenses, lm, media, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
 from sparkloom.llm.oracles import ORACLES
 
 
@@ -33,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": lambda spark, d: mixing.mix(_docs(spark, d)),
     "op7_substring_dedup": lambda spark, d: substring_dedup.removal_report(_docs(spark, d)),
     "op8_quality_classifier": lambda spark, d: quality_classifier.score_documents(_docs(spark, d), _labels(spark, d)),
+    "op9_license_scan": lambda spark, d: licenses.scan(_docs(spark, d)),
     "op10_quality_rules": lambda spark, d: quality_rules.quality_metrics(_docs(spark, d)),
 }
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
