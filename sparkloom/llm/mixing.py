@@ -115,7 +115,10 @@ def mixed_documents(docs: DataFrame, epochs: int = 3, seed: int = 7) -> DataFram
                 n = min(ends.size, batch.column("__words")[int(row)].as_py())
                 if n:
                     arrays = list(one.columns)
-                    arrays[at] = pa.array([data[: ends[n - 1]].tobytes().decode()], one.schema.field(at).type)
+                    text = data[: ends[n - 1]].tobytes().decode()
+                    arrays[at] = pa.array([text], one.schema.field(at).type)
+                    if "n_chars" in docs_columns and pa.types.is_integer(one.schema.field("n_chars").type):
+                        arrays[docs_columns.index("n_chars")] = pa.array([len(text)], one.schema.field("n_chars").type)
                     yield pa.RecordBatch.from_arrays(arrays, schema=one.schema)
 
     docs_columns = docs.columns

@@ -280,13 +280,172 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, bucket_r
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """The document of smallest doc_id of each component, with all its columns.
+# Similar documents: longer fingerprints, and thresholds for a wanted recall.
+
+_WIDE = "id long, fp binary"
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """doc_id and a fingerprint of ``words`` times 64 bits, each from another mix of the shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tk.text_slices(batch):
+                hashes, heads = shingle_hashes(part.column("text"), shingle)
+                fp = np.stack([majority(hashes if k == 0 else tk.mix(hashes + np.uint64(k)), heads) for k in range(words)], axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in fp], pa.binary())], ["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp binary")
+
+
+def _rows_of(column: pa.Array, words: int) -> np.ndarray:
+    return tk.flat(column)[0][: len(column) * 8 * words].view(np.uint64).reshape(-1, words)
+
+
+def _wide_bit_counts(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((words, BITS, BITS), np.int64)
+        for batch in batches:
+            fp = _rows_of(batch.column("fp"), words)
+            for k in range(0, len(fp), 16384):
+                for w in range(words):
+                    bits = np.unpackbits(np.ascontiguousarray(fp[k : k + 16384, w]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+                    total[w] += np.rint(bits.T @ bits).astype(np.int64)
+        i, j = np.triu_indices(BITS)
+        for w in range(words):
+            yield pa.RecordBatch.from_arrays([pa.array((w * BITS + i) * BITS + j), pa.array(total[w, i, j])], ["ij", "n"])
+
+    return run
+
+
+def plan_recall(n: int, both: np.ndarray, differs: float, recall: float, most: int = 1) -> list[tuple[int, list[int], int]]:
+    """(word, bits, threshold) of least estimated cost that finds ``recall`` of the pairs whose bits differ at that rate.
+
+    A pair is missed when it exceeds the threshold in every partition; the
+    logarithms of these chances add up, and the allocation is a knapsack over
+    them, for two to five partitions a word.
+    """
+    scale, plans = 200 / -np.log(1 - recall), []
+    for m in range(2, 6):
+        best: dict[int, tuple[float, list]] = {0: (0.0, [])}
+        for w in range(both.shape[0]):
+            p = np.diag(both[w]) / max(n, 1)
+            for bits in correlated_groups(n, both[w], m):
+                near, width = _within(2 * p[bits] * (1 - p[bits]), most), len(bits)
+                found = np.cumsum([comb(width, d) * differs**d * (1 - differs) ** (width - d) for d in range(most + 1)])
+                worth = np.floor(-np.log(1 - found) * scale).astype(int)
+                new = dict(best)
+                for total, (cost, chosen) in best.items():
+                    for t in range(most + 1):
+                        probes = sum(comb(width, d) for d in range(t + 1))
+                        key = min(200, total + int(worth[t]))
+                        add = cost + n * probes * PROBE_COST + n * n / 2 * near[t] * PAIR_COST * 4
+                        if key not in new or add < new[key][0]:
+                            new[key] = (add, [*chosen, (w, bits, t)])
+                best = new
+        reached = max(best)
+        plans.append((-reached, *best[reached]))
+    return min(plans, key=lambda x: x[:2])[2]
+
+
+def _wide_keys(plan: list[tuple[int, list[int], int]], words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                fp = _rows_of(part.column("fp"), words)
+                for i, (w, bits, t) in enumerate(plan):
+                    own = fp[:, w] & np.uint64(sum(1 << b for b in bits))
+                    for mask in _balls(bits, t).tolist():
+                        bucket = tk.mix((own ^ np.uint64(mask)) + np.uint64(int(tk._M3) * (i + 1) % (1 << 64))).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket), part.column("id"), part.column("fp")], ["bucket", "id", "fp"])
+
+    return run
+
+
+def _wide_links(words: int, radius: int):
+    """Stars of verified pairs in each bucket: every member is held against leaders until it links to one."""
+
+    def of_bucket(ids: np.ndarray, fp: np.ndarray, a: list, b: list) -> None:
+        left = np.arange(ids.size)
+        while left.size > 1:
+            head, left = left[0], left[1:]
+            near = np.bitwise_count(fp[left] ^ fp[head]).sum(axis=1) <= radius
+            a.append(np.full(int(near.sum()), ids[head]))
+            b.append(ids[left[near]])
+            left = left[~near] if left.size > 64 else left  # small buckets are compared in full
+
+    def verify(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1)), bucket.size)
+        sizes = np.diff(cuts)
+        d, at = 1, np.flatnonzero(np.repeat(sizes <= 64, sizes))
+        while at.size:
+            at = at[at + d < bucket.size]
+            at = at[bucket[at] == bucket[at + d]]
+            for k in range(0, at.size, 1 << 16):
+                x = at[k : k + (1 << 16)]
+                near = x[np.bitwise_count(fp[x] ^ fp[x + d]).sum(axis=1) <= radius]
+                a.append(ids[near])
+                b.append(ids[near + d])
+            d += 1
+        for k in np.flatnonzero(sizes > 64).tolist():
+            of_bucket(ids[cuts[k] : cuts[k + 1]], fp[cuts[k] : cuts[k + 1]], a, b)
+        x, y = stars(np.concatenate(a), np.concatenate(b))
+        if x.size:
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, words), np.uint64)]
+        for batch in batches:
+            new = (batch.column("bucket").to_numpy(), batch.column("id").to_numpy(), _rows_of(batch.column("fp"), words))
+            rest = [np.concatenate(x) for x in zip(rest, new, strict=True)]
+            if rest[0].size < 100_000:
+                continue
+            cut = int(np.searchsorted(rest[0], rest[0][-1]))  # the last bucket may go on
+            if cut:
+                yield from verify(*(x[:cut] for x in rest))
+                rest = [x[cut:] for x in rest]
+        if rest[0].size:
+            yield from verify(*rest)
+
+    return run
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, recall: float = 0.97) -> DataFrame:
+    """(doc_id, component_id) of all documents with a doc_id, linked where the Jaccard similarity of shingles is estimated at ``similarity`` or more.
+
+    A Jaccard similarity J of equal-sized sets is a cosine of 2J / (1 + J), and a
+    fingerprint bit differs with the angle's share of a half turn.  A radius
+    that guarantees such pairs by the pigeonhole would probe nearly all pairs,
+    so the thresholds are allocated for a recall at the border; it is higher
+    for closer pairs.  Verification is over all bits, two standard deviations
+    past the expected distance.
+    """
+    differs = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    size = words * BITS
+    radius = int(size * differs + 2 * (size * differs * (1 - differs)) ** 0.5)
+    fps = saved(wide_fingerprints(docs, shingle, words).where("doc_id is not null"), "simhash-wide")
+    distinct = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-wide-distinct")
+    both = np.zeros((words, BITS, BITS))
+    for ij, n in distinct.select("fp").mapInArrow(_wide_bit_counts(words), "ij long, n long").groupBy("ij").sum("n").collect():
+        w, i, j = ij // BITS // BITS, ij // BITS % BITS, ij % BITS
+        both[w, i, j] = both[w, j, i] = n
+    plan = plan_recall(distinct.count(), both, differs, recall)
+    keys = distinct.select("id", "fp").mapInArrow(_wide_keys(plan, words), "bucket long, id long, fp binary")
+    found = keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_wide_links(words, radius), "a long, b long")
+    roots = components(saved(found.distinct(), "simhash-wide-links"))
+    classes = distinct.join(roots, distinct["id"] == roots["node"], "left").select(F.col("fp").alias("f"), F.coalesce("root", "id").alias("component_id"))
+    return fps.join(classes, fps["fp"] == classes["f"]).select("doc_id", "component_id")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The document of smallest doc_id of each component of similar documents, with all its columns.
 
     doc_id is the key: of rows that share one, one stays.  Rows without a doc_id
     can't be told apart and all stay.
     """
-    classes = saved(near_duplicates(docs.select("doc_id", "text"), radius, shingle).where("doc_id is not null").select("doc_id", "component_id"), "simhash-rows")
+    classes = saved(similar_documents(docs.select("doc_id", "text"), shingle, similarity), "simhash-rows")
     gone = saved(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "simhash-gone")
     out = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
     again = saved(classes.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "simhash-again")
