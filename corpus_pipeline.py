@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group: shingles of five words, four of 64 bits."""
-    return simhash.deduplicated(docs, radius=4, shingle=5)
+    """The document of smallest doc_id of each group of similar ones: shingles of five words, similarity 0.8."""
+    return simhash.deduplicated(docs, shingle=5, similarity=0.8)
 
 
 def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
