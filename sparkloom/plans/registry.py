@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,30 +23,3 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
-
-
-@query(
-    "q1_pricing_summary",
-    """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base_price,
-       sum(l_extendedprice * (1 - l_discount)) AS sum_disc_price,
-       sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS sum_charge, avg(l_quantity) AS avg_qty,
-       avg(l_extendedprice) AS avg_price, avg(l_discount) AS avg_disc, count(*) AS count_order
-       FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus""",
-)
-def _q1(t):
-    disc = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return (
-        t("lineitem")
-        .where("l_shipdate <= timestamp_ntz'1998-09-02'")
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(
-            F.sum("l_quantity").alias("sum_qty"),
-            F.sum("l_extendedprice").alias("sum_base_price"),
-            F.sum(disc).alias("sum_disc_price"),
-            F.sum(disc * (1 + F.col("l_tax"))).alias("sum_charge"),
-            F.avg("l_quantity").alias("avg_qty"),
-            F.avg("l_extendedprice").alias("avg_price"),
-            F.avg("l_discount").alias("avg_disc"),
-            F.count("*").alias("count_order"),
-        )
-    )
