@@ -87,7 +87,7 @@ class Contexts:
         good = valid[first]
         self.first, self.last = first[good], last[good]
         where = at[self.first]
-        self.anchor = h[where]
+        self.anchor = tk.mix(h[where] + tk._M2)  # least hashes crowd at the low end; shards go by range
         self.context = tk.mix(rolling.ranges(self.first, self.last + length) ^ tk.mix((where - self.first).astype(tk.U) + tk._M1))
 
 
@@ -338,7 +338,7 @@ def repeated_spans(batches: DataFrame, size: int, length: int = 200, hot: int =
         twice = single.groupBy("w1", "w2").count().where("count > 1").drop("count")
         spans = spans.union(single.where("wanted").join(twice, ["w1", "w2"], "left_semi").select("bid", "row", "first", F.col("first").alias("last")))
         sent = sent.join(common, "anchor", "left_anti")
-    parts = max(1, total // (shard_bytes // 2))
+    parts = max(16, total // (shard_bytes // 8))
     grouped = sent.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(parts))).groupBy("shard").applyInArrow(_expand(length), _SPANS)
     return spans.union(grouped)
 
