@@ -10,13 +10,13 @@ from sparkloom.functions.windows import Window, over, ranked
 from sparkloom.plans.registry import query
 from sparkloom.session import Session
 
-_L = "SELECT c_custkey AS k, c_nationkey::double AS n, c_mktsegment AS name FROM customer WHERE c_custkey % 3 = 0"
-_R = "SELECT o_custkey AS k, o_orderkey::double AS n, o_totalprice AS price FROM orders WHERE o_orderkey % 2 = 0"
+_L = "SELECT c_custkey AS k, c_nationkey::double AS n, c_mktsegment AS name FROM customer"
+_R = "SELECT CASE WHEN o_orderstatus = 'P' THEN -o_custkey ELSE o_custkey END AS k, o_orderkey::double AS n, o_totalprice AS price FROM orders"
 
 
 def _sides(t):
-    left = t("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("double").alias("n"), F.col("c_mktsegment").alias("name"))
-    right = t("orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").cast("double").alias("n"), F.col("o_totalprice").alias("price"))
+    left = t("customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("double").alias("n"), F.col("c_mktsegment").alias("name"))
+    right = t("orders").select(F.when(F.col("o_orderstatus") == "P", -F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("k"), F.col("o_orderkey").cast("double").alias("n"), F.col("o_totalprice").alias("price"))
     return Frame(left), Frame(right)
 
 
@@ -54,10 +54,10 @@ def join_suffix(t):
     return left.join(right, on="k", suffix="_right").df
 
 
-@query("join_null_safe", "SELECT a.s, count(*) AS n FROM (SELECT nullif(event_type, 'click') AS s FROM events WHERE event_id < 300) a JOIN (SELECT DISTINCT nullif(event_type, 'click') AS s FROM events) b ON a.s IS NOT DISTINCT FROM b.s GROUP BY 1")
+@query("join_null_safe", "SELECT a.s, count(*) AS n FROM (SELECT nullif(event_type, 'click') AS s FROM events) a JOIN (SELECT DISTINCT nullif(event_type, 'click') AS s FROM events) b ON a.s IS NOT DISTINCT FROM b.s GROUP BY 1")
 def join_null_safe(t):
     s = F.nullif(F.col("event_type"), F.lit("click")).alias("s")
-    a, b = Frame(t("events").where("event_id < 300").select(s)), Frame(t("events").select(s).distinct())
+    a, b = Frame(t("events").select(s)), Frame(t("events").select(s).distinct())
     return a.join(b, on="s", null_equals_null=True).df.groupBy("s").agg(F.count("*").alias("n"))
 
 
@@ -232,11 +232,11 @@ def window_top(t):
 
 # Sets, order, reshaping.
 
-_A, _B = "SELECT c_nationkey AS v FROM customer", "SELECT s_nationkey AS v FROM supplier WHERE s_nationkey < 12"
+_A, _B = "SELECT c_nationkey AS v FROM customer", "SELECT s_nationkey + 5 AS v FROM supplier"
 
 
 def _ab(t):
-    return Frame(t("customer").select(F.col("c_nationkey").alias("v"))), Frame(t("supplier").where("s_nationkey < 12").select(F.col("s_nationkey").alias("v")))
+    return Frame(t("customer").select(F.col("c_nationkey").alias("v"))), Frame(t("supplier").select((F.col("s_nationkey") + 5).alias("v")))
 
 
 for _name, _sql in (("union", "UNION"), ("union_all", "UNION ALL"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL"), ("except_distinct", "EXCEPT"), ("except_all", "EXCEPT ALL"), ("concat", "UNION ALL")):

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.plans.registry import query
 
-REV = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+def revenue():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 def money(c, name):
@@ -30,7 +31,7 @@ def q1(t):
         t("lineitem")
         .where(F.col("l_shipdate") <= day("1998-09-02"))
         .groupBy("l_returnflag", "l_linestatus")
-        .agg(money("l_quantity", "sum_qty"), money("l_extendedprice", "sum_base_price"), money(REV, "sum_disc_price"), money(REV * (1 + F.col("l_tax")), "sum_charge"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.round(F.avg("l_discount"), 4).alias("avg_disc"), F.count("*").alias("count_order"))
+        .agg(money("l_quantity", "sum_qty"), money("l_extendedprice", "sum_base_price"), money(revenue(), "sum_disc_price"), money(revenue() * (1 + F.col("l_tax")), "sum_charge"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.round(F.avg("l_discount"), 4).alias("avg_disc"), F.count("*").alias("count_order"))
     )
 
 
@@ -38,7 +39,7 @@ def q1(t):
     "q2_cheapest_supplier",
     """WITH offers AS (SELECT l_partkey, l_suppkey, min(l_extendedprice / l_quantity) AS cost FROM lineitem GROUP BY 1, 2),
        best AS (SELECT l_partkey, min(cost) AS cost FROM offers GROUP BY 1)
-       SELECT p_partkey, s_suppkey, s_name, n_name, round(o.cost, 4) AS cost
+       SELECT p_partkey, s_suppkey, s_name, n_name, o.cost AS cost
        FROM part JOIN best b ON p_partkey = b.l_partkey JOIN offers o ON o.l_partkey = b.l_partkey AND o.cost = b.cost
        JOIN supplier ON s_suppkey = o.l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE p_size <= 15""",
 )
@@ -50,7 +51,7 @@ def q2(t):
         .join(offers, (F.col("p_partkey") == F.col("l_partkey")) & (F.col("least") == F.col("cost")))
         .join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
         .join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
-        .select("p_partkey", "s_suppkey", "s_name", "n_name", F.round("cost", 4).alias("cost"))
+        .select("p_partkey", "s_suppkey", "s_name", "n_name", "cost")
     )
 
 
@@ -65,7 +66,7 @@ def q3(t):
     return (
         t("customer").where("c_mktsegment = 'BUILDING'").join(t("orders").where(F.col("o_orderdate") < day("1996-06-15")), F.col("c_custkey") == F.col("o_custkey"))
         .join(t("lineitem").where(F.col("l_shipdate") > day("1996-06-15")), F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("o_orderkey", "o_orderdate", "o_orderpriority").agg(money(REV, "revenue"))
+        .groupBy("o_orderkey", "o_orderdate", "o_orderpriority").agg(money(revenue(), "revenue"))
         .orderBy(F.desc("revenue"), "o_orderkey").limit(10)
     )
 
@@ -92,7 +93,7 @@ def q5(t):
     return (
         t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
         .join(t("supplier"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
-        .join(nations, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(money(REV, "revenue"))
+        .join(nations, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(money(revenue(), "revenue"))
     )
 
 
@@ -118,7 +119,7 @@ def q7(t):
     return (
         t("lineitem").join(t("supplier").join(sn, F.col("s_nationkey") == F.col("sk")), F.col("s_suppkey") == F.col("l_suppkey"))
         .join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer").join(cn, F.col("c_nationkey") == F.col("ck")), F.col("c_custkey") == F.col("o_custkey"))
-        .groupBy("supp_nation", "cust_nation", F.year("l_shipdate").alias("l_year")).agg(money(REV, "revenue"))
+        .groupBy("supp_nation", "cust_nation", F.year("l_shipdate").alias("l_year")).agg(money(revenue(), "revenue"))
     )
 
 
@@ -131,7 +132,7 @@ def q7(t):
 )
 def q8(t):
     rows = t("lineitem").join(t("part").where("p_size < 25"), F.col("p_partkey") == F.col("l_partkey")).join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("supplier").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey")), F.col("s_suppkey") == F.col("l_suppkey"))
-    return rows.groupBy(F.year("o_orderdate").alias("o_year")).agg(F.round(F.sum(F.when(F.col("n_regionkey") == 1, REV).otherwise(0.0)) / F.sum(REV), 6).alias("mkt_share"))
+    return rows.groupBy(F.year("o_orderdate").alias("o_year")).agg(F.round(F.sum(F.when(F.col("n_regionkey") == 1, revenue()).otherwise(0.0)) / F.sum(revenue()), 6).alias("mkt_share"))
 
 
 @query(
@@ -142,7 +143,7 @@ def q8(t):
 )
 def q9(t):
     rows = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
-    return rows.groupBy(F.col("n_name").alias("nation"), F.year("o_orderdate").alias("o_year")).agg(money(REV - F.col("p_retailprice") * F.col("l_quantity") * 0.5, "profit"))
+    return rows.groupBy(F.col("n_name").alias("nation"), F.year("o_orderdate").alias("o_year")).agg(money(revenue() - F.col("p_retailprice") * F.col("l_quantity") * 0.5, "profit"))
 
 
 @query(
@@ -154,6 +155,6 @@ def q9(t):
 def q10(t):
     return (
         t("lineitem").where("l_returnflag = 'R'").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
-        .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("c_custkey", "c_name", "c_acctbal", "n_name").agg(money(REV, "revenue"))
+        .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("c_custkey", "c_name", "c_acctbal", "n_name").agg(money(revenue(), "revenue"))
         .orderBy(F.desc("revenue"), "c_custkey").limit(20)
     )

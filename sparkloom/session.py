@@ -13,35 +13,30 @@ from sparkloom.frame import Frame
 def dialect(sql: str) -> str:
     """The engine's SQL as Spark's, outside of quotes: ``//`` is integer division,
     and ORDER BY puts nulls last going up and first going down."""
-    out = []
-    for part in re.split(r"('(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`)", sql):
-        if part[:1] == '"':
-            out.append(f"`{part[1:-1]}`")
-        elif part[:1] in ("'", "`"):
-            out.append(part)
-        else:
-            out.append(part.replace("//", " div "))
-    return _order_nulls("".join(out))
+    quoted: list[str] = []
+
+    def hold(m: re.Match) -> str:
+        quoted.append(f"`{m[0][1:-1]}`" if m[0][0] == '"' else m[0])
+        return f"\0{len(quoted) - 1}\0"
+
+    text = re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`", hold, sql).replace("//", " div ")
+    return re.sub("\0(\\d+)\0", lambda m: quoted[int(m[1])], _order_nulls(text))
 
 
 _STOP = re.compile(r"\b(limit|offset|rows|range|union|intersect|except|having|fetch)\b", re.I)
 
 
 def _order_nulls(sql: str) -> str:
-    """Spell the place of nulls for every key of every ORDER BY that doesn't."""
+    """Spell the place of nulls for every key of every ORDER BY that doesn't; quoted parts are held out."""
     out, at = [], 0
     for m in re.finditer(r"\border\s+by\b", sql, re.I):
         if m.start() < at:
             continue
         out.append(sql[at : m.end()])
-        k, depth, keys, start, quoted = m.end(), 0, [], m.end(), ""
+        k, depth, keys, start = m.end(), 0, [], m.end()
         while k < len(sql):
             c = sql[k]
-            if quoted:
-                quoted = "" if c == quoted else quoted
-            elif c in "'`":
-                quoted = c
-            elif c == "(":
+            if c == "(":
                 depth += 1
             elif c == ")":
                 if not depth:

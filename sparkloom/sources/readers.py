@@ -190,7 +190,7 @@ def read_generator(spark: SparkSession, makers: list[Callable], schema: str) ->
         def schema(self) -> str:
             return schema
 
-        def reader(self, _):
+        def reader(self, schema):
             return _Generated(makers)
 
     spark.dataSource.register(Generator)

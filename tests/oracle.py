@@ -23,7 +23,7 @@ def _cell(x) -> str:
         x = x.tolist()
     if isinstance(x, (list, tuple)):
         return str([_cell(v) for v in x])
-    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
         return "null"
     if isinstance(x, (bool, np.bool_)):
         return str(bool(x))
