@@ -212,7 +212,7 @@ def score_documents(docs: DataFrame, held_out: F.Column | None = None, filter_by
     out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0 if held_out is None else held_out
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(out, F.lit(False)).alias("held_out"))
     batches = batch_table(slim, "lm-batches")
-    shards = max(8, input_bytes(docs) // shard_bytes)
+    shards = max(8, input_bytes(batches) // shard_bytes)
     sent = batches.mapInArrow(_counts(shards), "shard long, bid long, words binary, word_n binary, pairs binary")
     answers = saved(sent.groupBy("shard").applyInArrow(_tally(filter_bytes * 8 // shards, bits), _ANSWERS), "lm-answers")
     spark = docs.sparkSession

@@ -42,5 +42,5 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of a table's size."""
+    """Size of a table that was read from files (of others the optimiser knows nothing)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -141,7 +141,7 @@ def _judge(table: pa.Table) -> pa.Table:
     out = np.zeros(keep.size, np.dtype([("anchor", "<u8"), ("context", "<u8"), ("action", "u1")]))
     out["anchor"], out["context"], out["action"] = e["anchor"][keep], e["context"][keep], action[keep]
     cuts = np.flatnonzero(np.diff(bid[keep], prepend=-1))
-    ends = np.append(cuts[1:], keep.size)
+    ends = np.append(cuts[1:], keep.size)[: cuts.size]
     return pa.table({"bid": pa.array(bid[keep][cuts], pa.int64()), "answer": pa.array([out[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())})
 
 
@@ -321,9 +321,9 @@ def _single_windows(length: int):
     return run
 
 
-def repeated_spans(batches: DataFrame, size: int, length: int = 200, hot: int = 16384, shard_bytes: int = 8 << 20) -> DataFrame:
+def repeated_spans(batches: DataFrame, length: int = 200, hot: int = 16384, shard_bytes: int = 8 << 20) -> DataFrame:
     """(bid, row, first, last): windows starting at first..last of that row of a batch occur elsewhere too."""
-    shards = max(8, size // shard_bytes)
+    shards = max(8, input_bytes(batches) // shard_bytes)
     entries = batches.mapInArrow(_anchors(length, shards), "shard long, bid long, entries binary")
     answers = entries.groupBy("shard").applyInArrow(_judge, "bid long, answer binary")
     found = saved(answered(batches, answers, _act(length), _FOUND), "substring-contexts")
@@ -374,7 +374,7 @@ def removal_report(docs: DataFrame, length: int = 200) -> DataFrame:
     """What is removed of each document, and the digest of the rest."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     batches = batch_table(slim, "substring-batches")
-    spans = repeated_spans(batches, input_bytes(docs), length)
+    spans = repeated_spans(batches, length)
 
     def run(bid: int, rows: pa.RecordBatch, found: pa.Table) -> list[pa.Table]:
         out = []
@@ -392,7 +392,7 @@ def removal_report(docs: DataFrame, length: int = 200) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """The documents with repeated bytes removed; a character cut in two goes as a whole, and n_chars follows the text."""
     batches = batch_table(docs, "substring-batches")
-    spans = repeated_spans(batches, input_bytes(docs), length)
+    spans = repeated_spans(batches, length)
     schema: StructType = docs.schema
     names = docs.columns
 
