@@ -54,13 +54,14 @@ def batch_table(docs: DataFrame, name: str, batch_bytes: int = BATCH_BYTES) -> D
         if held:
             yield flush()
 
-    return saved(docs.mapInArrow(run, "bid long, rows binary"), name)
+    return saved(docs.mapInArrow(tk.tidy(run), "bid long, rows binary"), name)
 
 
 def answered(batches: DataFrame, answers: DataFrame, f, schema: str) -> DataFrame:
     """f(bid, documents, answers as a table) for each batch; answers has a column bid and may lack batches."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        tk.release()
         out = [f(left.column("bid")[k].as_py(), from_bytes(left.column("rows")[k].as_py()), right) for k in range(left.num_rows)]
         return pa.concat_tables([x for one in out for x in one]) if any(out) else empty
 

@@ -95,7 +95,7 @@ def _rolling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame, share: float = 0.7, shift: int = 4) -> DataFrame:
     """License places and labels of every document."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_rolling, "rid long, doc_id long, n_words long, hs array<bigint>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tk.tidy(_rolling), "rid long, doc_id long, n_words long, hs array<bigint>")
     grams = texts.select("rid", "doc_id", "n_words", F.posexplode("hs").alias("pos", "h"))
     hits = grams.join(F.broadcast(template_positions(docs.sparkSession)), "h").repartition("rid")
     diagonal = hits.groupBy("rid", "template", "label", "grams", "base", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.max(F.when(F.col("template") < 0, F.col("doc_id"))).alias("doc_id"), F.max("n_words").alias("n_words"))

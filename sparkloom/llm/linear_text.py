@@ -85,7 +85,7 @@ def bucket_counts(sample: DataFrame, grams: Grams, classes: int) -> tuple[np.nda
                 yield pa.RecordBatch.from_pydict({"k": [k], "texts": [int(texts[k])], "counts": [zlib.compress(counts[k].tobytes(), 1)]})
 
     total, texts = np.zeros((classes, 1 << BUCKET_BITS), np.int64), np.zeros(classes, np.int64)
-    for row in sample.mapInArrow(run, "k long, texts long, counts binary").collect():  # eight tasks, mostly zeros
+    for row in sample.mapInArrow(tk.tidy(run), "k long, texts long, counts binary").collect():  # eight tasks, mostly zeros
         total[row["k"]] += np.frombuffer(zlib.decompress(row["counts"]), np.int32)
         texts[row["k"]] += row["texts"]
     return total, texts
@@ -103,7 +103,7 @@ def active_features(sample: DataFrame, grams: Grams, buckets: np.ndarray) -> tup
                 cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([index[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["label", "on"])
 
-    rows = sample.mapInArrow(run, "label int, on binary").collect()  # at most sample_rows
+    rows = sample.mapInArrow(tk.tidy(run), "label int, on binary").collect()  # at most sample_rows
     rows.sort(key=lambda r: (r["on"], r["label"]))  # a fixed order, so that fits agree to the last bit
     on = [np.frombuffer(r["on"], np.int32) for r in rows]
     starts = np.append(0, np.cumsum([x.size for x in on]))
@@ -144,7 +144,7 @@ def linear_scores(docs: DataFrame, grams: Grams, buckets: np.ndarray, weights: n
                 total = np.bincount(row, w[table[bucket] - 1], part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *finish(total)], ["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tk.tidy(run), schema)
 
 
 def held_out_rows() -> F.Column:

@@ -213,7 +213,7 @@ def score_documents(docs: DataFrame, held_out: F.Column | None = None, filter_by
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(out, F.lit(False)).alias("held_out"))
     batches = batch_table(slim, "lm-batches")
     shards = max(8, input_bytes(batches) // shard_bytes)
-    sent = batches.mapInArrow(_counts(shards), "shard long, bid long, words binary, word_n binary, pairs binary")
+    sent = batches.mapInArrow(tk.tidy(_counts(shards)), "shard long, bid long, words binary, word_n binary, pairs binary")
     answers = saved(sent.groupBy("shard").applyInArrow(_tally(filter_bytes * 8 // shards, bits), _ANSWERS), "lm-answers")
     spark = docs.sparkSession
     pieces = {r["shard"]: r for r in answers.where("bid is null").select("shard", "segment", "tokens", "vocabulary", "pair_tokens").collect()}  # filter_bytes at most

@@ -154,7 +154,7 @@ def write_archives(docs: DataFrame, folder: str) -> DataFrame:
             writer.close()
             yield pa.RecordBatch.from_pydict({"archive": [writer.to + ".tar"], "members": [len(writer.members)], "bytes": [writer.at]})
 
-    return saved(docs.select("doc_id", "text").mapInArrow(run, "archive string, members long, bytes long"), "media-manifest")
+    return saved(docs.select("doc_id", "text").mapInArrow(tk.tidy(run), "archive string, members long, bytes long"), "media-manifest")
 
 
 @dataclass
@@ -283,7 +283,7 @@ def media_features(media: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip((c.split()[0] for c in FEATURES.split(", ")), zip(*rows, strict=True), strict=True)), schema=_FEATURES)
 
-    return media.where("error is null").select("name", "media").mapInArrow(run, FEATURES)
+    return media.where("error is null").select("name", "media").mapInArrow(tk.tidy(run), FEATURES)
 
 
 _FEATURES = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (c.split() for c in FEATURES.split(", "))])

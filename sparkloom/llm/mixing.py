@@ -44,7 +44,7 @@ def _order_key(seed: int) -> F.Column:
 
 def document_sizes(docs: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, source, size in words and the seeded order key, written once."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(_sizes, "doc_id long, source string, size long")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(tk.tidy(_sizes), "doc_id long, source string, size long")
     return saved(slim.withColumn("h", _order_key(seed)), "mix-sizes")
 
 
@@ -122,4 +122,4 @@ def mixed_documents(docs: DataFrame, epochs: int = 3, seed: int = 7) -> DataFram
                     yield pa.RecordBatch.from_arrays(arrays, schema=one.schema)
 
     docs_columns = docs.columns
-    return out.mapInArrow(run, docs.schema)
+    return out.mapInArrow(tk.tidy(run), docs.schema)

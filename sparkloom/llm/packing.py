@@ -65,7 +65,7 @@ def tokenized(docs: DataFrame, tokenizer: str, window: int, end_id: int = END_ID
                 columns = [part.column("doc_id"), np.full(n.size, task), pa.array(blobs, pa.binary()), n, before, rest, rank]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "task", "ids", "n", "full_before", "rest", "rest_rank"])
 
-    return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _TABLE), "pack-ids")
+    return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tk.tidy(run), _TABLE), "pack-ids")
 
 
 def _fill(counts: dict[int, int], room: int) -> list[int]:
@@ -193,4 +193,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = END_
         return pa.RecordBatch.from_arrays(arrays, names)
 
     joined = table.join(bases, ["task", "rest"])
-    return joined.select("doc_id", "ids", "n", "full_before", "rest", "rest_rank", "rank_before", "full_start").mapInArrow(run, schema)
+    return joined.select("doc_id", "ids", "n", "full_before", "rest", "rest_rank", "rank_before", "full_start").mapInArrow(tk.tidy(run), schema)

@@ -144,7 +144,7 @@ def _measure(rules: tuple[Rule, ...]) -> Callable:
 
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 512) -> tuple[Rule, ...]:
     """Order rules by rejections per second, measured on ``sample_rows`` rows."""
-    got = docs.select("text").limit(sample_rows).mapInArrow(_measure(rules), "k long, cost double, out long, seen long").groupBy("k").sum("cost", "out").collect()
+    got = docs.select("text").limit(sample_rows).mapInArrow(tk.tidy(_measure(rules)), "k long, cost double, out long, seen long").groupBy("k").sum("cost", "out").collect()
     worth = {r[0]: (r[2] + 0.5) / (r[1] + 1e-6) for r in got}
     return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: (-worth.get(k, 0.0), k)))
 
@@ -180,7 +180,7 @@ def keep_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows
             for part in tk.text_slices(batch):
                 yield part.filter(pa.array(cascade(part.column("text"), order)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tk.tidy(run), docs.schema)
 
 
 def quality_metrics(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 512) -> DataFrame:
@@ -210,4 +210,4 @@ def quality_metrics(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_row
                     ["doc_id", *names, "base_failed", "kept"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, METRICS)
+    return docs.select("doc_id", "text").mapInArrow(tk.tidy(run), METRICS)

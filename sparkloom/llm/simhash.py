@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
                 fp = majority(*shingle_hashes(part.column("text"), shingle)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tk.tidy(run), "doc_id long, fp long")
 
 
 def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,7 @@ def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
     """Number of fingerprints and how often two bits are set together, over all of them."""
     both = np.zeros((BITS, BITS))
-    for ij, n in distinct.select("fp").mapInArrow(_bit_counts, "ij long, n long").groupBy("ij").sum("n").collect():
+    for ij, n in distinct.select("fp").mapInArrow(tk.tidy(_bit_counts), "ij long, n long").groupBy("ij").sum("n").collect():
         both[ij // BITS, ij % BITS] = both[ij % BITS, ij // BITS] = n
     return distinct.count(), both
 
@@ -251,7 +251,7 @@ def _links(radius: int):
 def links(distinct: DataFrame, radius: int = 4, bucket_rows: int = 4096, levels: int = 4) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of fingerprints within the radius."""
     plan = plan_search(*bit_statistics(distinct), radius)
-    rows = distinct.select("fp").mapInArrow(_keys(plan), "bucket long, fp long, probe boolean")
+    rows = distinct.select("fp").mapInArrow(tk.tidy(_keys(plan)), "bucket long, fp long, probe boolean")
     found = None
     for level in range(levels):
         last = level == levels - 1 or radius > 4  # five groups always hold one that agrees up to radius 4
@@ -260,11 +260,11 @@ def links(distinct: DataFrame, radius: int = 4, bucket_rows: int = 4096, levels:
             hot = saved(rows.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket"), "simhash-hot")
             last = hot.isEmpty()
         small = rows if last else rows.join(hot, "bucket", "left_anti")
-        new = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(radius), "a long, b long")
+        new = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tk.tidy(_links(radius)), "a long, b long")
         found = new if found is None else found.union(new)
         if last:
             break
-        rows = rows.join(hot, "bucket", "left_semi").mapInArrow(_finer(level + 1), "bucket long, fp long, probe boolean").distinct()
+        rows = rows.join(hot, "bucket", "left_semi").mapInArrow(tk.tidy(_finer(level + 1)), "bucket long, fp long, probe boolean").distinct()
     return saved(found.distinct(), "simhash-links")
 
 
@@ -295,7 +295,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
                 fp = np.stack([majority(hashes if k == 0 else tk.mix(hashes + np.uint64(k)), heads) for k in range(words)], axis=1)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in fp], pa.binary())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tk.tidy(run), "doc_id long, fp binary")
 
 
 def _rows_of(column: pa.Array, words: int) -> np.ndarray:
@@ -428,12 +428,12 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     fps = saved(wide_fingerprints(docs, shingle, words).where("doc_id is not null"), "simhash-wide")
     distinct = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-wide-distinct")
     both = np.zeros((words, BITS, BITS))
-    for ij, n in distinct.select("fp").mapInArrow(_wide_bit_counts(words), "ij long, n long").groupBy("ij").sum("n").collect():
+    for ij, n in distinct.select("fp").mapInArrow(tk.tidy(_wide_bit_counts(words)), "ij long, n long").groupBy("ij").sum("n").collect():
         w, i, j = ij // BITS // BITS, ij // BITS % BITS, ij % BITS
         both[w, i, j] = both[w, j, i] = n
     plan = plan_recall(distinct.count(), both, differs, recall)
-    keys = distinct.select("id", "fp").mapInArrow(_wide_keys(plan, words), "bucket long, id long, fp binary")
-    found = keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_wide_links(words, radius), "a long, b long")
+    keys = distinct.select("id", "fp").mapInArrow(tk.tidy(_wide_keys(plan, words)), "bucket long, id long, fp binary")
+    found = keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tk.tidy(_wide_links(words, radius)), "a long, b long")
     roots = components(saved(found.distinct(), "simhash-wide-links"))
     classes = distinct.join(roots, distinct["id"] == roots["node"], "left").select(F.col("fp").alias("f"), F.coalesce("root", "id").alias("component_id"))
     return fps.join(classes, fps["fp"] == classes["f"]).select("doc_id", "component_id")

@@ -324,7 +324,7 @@ def _single_windows(length: int):
 def repeated_spans(batches: DataFrame, length: int = 200, hot: int = 16384, shard_bytes: int = 8 << 20) -> DataFrame:
     """(bid, row, first, last): windows starting at first..last of that row of a batch occur elsewhere too."""
     shards = max(8, input_bytes(batches) // shard_bytes)
-    entries = batches.mapInArrow(_anchors(length, shards), "shard long, bid long, entries binary")
+    entries = batches.mapInArrow(tk.tidy(_anchors(length, shards)), "shard long, bid long, entries binary")
     answers = entries.groupBy("shard").applyInArrow(_judge, "bid long, answer binary")
     found = saved(answered(batches, answers, _act(length), _FOUND), "substring-contexts")
     spans = found.where("bytes is null").select("bid", "row", "first", "last")
@@ -334,7 +334,7 @@ def repeated_spans(batches: DataFrame, length: int = 200, hot: int = 16384, shar
     total = stats.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     common = stats.where(F.col("n") > hot).select("anchor")
     if not common.isEmpty():
-        single = saved(sent.join(common, "anchor", "left_semi").mapInArrow(_single_windows(length), "w1 long, w2 long, bid long, row long, first long, wanted boolean"), "substring-windows")
+        single = saved(sent.join(common, "anchor", "left_semi").mapInArrow(tk.tidy(_single_windows(length)), "w1 long, w2 long, bid long, row long, first long, wanted boolean"), "substring-windows")
         twice = single.groupBy("w1", "w2").count().where("count > 1").drop("count")
         spans = spans.union(single.where("wanted").join(twice, ["w1", "w2"], "left_semi").select("bid", "row", "first", F.col("first").alias("last")))
         sent = sent.join(common, "anchor", "left_anti")

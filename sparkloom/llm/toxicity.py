@@ -83,4 +83,4 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
                 z = np.bincount(row, w[table[bucket] - 1], part.num_rows) + bias
                 yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lt.tk.tidy(run), docs.schema)
