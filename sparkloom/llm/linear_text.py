@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm import textkit as tk
 
 BUCKET_BITS = 20
+BLOCK_CHARS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -38,24 +39,29 @@ class Grams:
             raw = tk.LOWER[raw]
         lead = np.zeros(n + 1, np.int64)
         np.cumsum((raw[:n] & 0xC0) != 0x80, out=lead[1:])
-        chars = np.frombuffer(raw[:n].tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(tk.U)
+        chars = np.frombuffer(raw[:n].tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
         offs = lead[offs]
-        ends = np.repeat(offs[1:], np.diff(offs))
-        owner = np.repeat(np.arange(offs.size - 1, dtype=np.int64), np.diff(offs))
-        h, found = np.zeros(chars.size, tk.U), []
-        for order in range(1, max(self.orders) + 1):
-            size = chars.size - order + 1
-            if size <= 0:
-                break
-            h = h[:size] * tk._M3 + chars[order - 1 :] + tk.U(1)
-            if order not in self.orders:
-                continue
-            bucket = ((h ^ (h >> tk.U(29))) * tk._M1 >> tk.U(64 - BUCKET_BITS)).astype(np.int64)
-            fits = np.arange(size) + order <= ends[:size]
-            if table is not None:
-                fits &= table[bucket] != 0
-            at = np.flatnonzero(fits)
-            found.append(owner[at] << BUCKET_BITS | bucket[at])
+        owner = np.repeat(np.arange(offs.size - 1, dtype=np.int32), np.diff(offs))
+        most, found = max(self.orders), []
+        for start in range(0, chars.size, BLOCK_CHARS):  # memory follows the block, also in one long text
+            block = chars[start : start + BLOCK_CHARS + most - 1].astype(tk.U)
+            row = owner[start : start + BLOCK_CHARS].astype(np.int64)
+            room = offs[row + 1] - start
+            h = np.zeros(block.size, tk.U)
+            for order in range(1, most + 1):
+                size = block.size - order + 1
+                if size <= 0:
+                    break
+                h = h[:size] * tk._M3 + block[order - 1 :] + tk.U(1)
+                if order not in self.orders:
+                    continue
+                size = min(size, row.size)
+                bucket = ((h[:size] ^ (h[:size] >> tk.U(29))) * tk._M1 >> tk.U(64 - BUCKET_BITS)).astype(np.int64)
+                fits = np.arange(size) + order <= room[:size]
+                if table is not None:
+                    fits &= table[bucket] != 0
+                at = np.flatnonzero(fits)
+                found.append(np.unique(row[at] << BUCKET_BITS | bucket[at]))
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         return pairs >> BUCKET_BITS, pairs & ((1 << BUCKET_BITS) - 1)
 
