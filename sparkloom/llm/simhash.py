@@ -364,16 +364,31 @@ def _wide_keys(plan: list[tuple[int, list[int], int]], words: int):
 
 
 def _wide_links(words: int, radius: int):
-    """Stars of verified pairs in each bucket: every member is held against leaders until it links to one."""
+    """Stars with the components of all pairs within the radius in each bucket."""
+    first = min(words, max(1, 2 * radius // BITS + 2))  # unrelated pairs exceed the radius within these words
 
     def of_bucket(ids: np.ndarray, fp: np.ndarray, a: list, b: list) -> None:
-        left = np.arange(ids.size)
-        while left.size > 1:
-            head, left = left[0], left[1:]
-            near = np.bitwise_count(fp[left] ^ fp[head]).sum(axis=1) <= radius
-            a.append(np.full(int(near.sum()), ids[head]))
-            b.append(ids[left[near]])
-            left = left[~near] if left.size > 64 else left  # small buckets are compared in full
+        """Every member that was reached is held against all that weren't; pairs of reached members add nothing."""
+        left, cols, at, wave = np.arange(ids.size), np.ascontiguousarray(fp.T), 0, np.zeros(0, np.int64)
+        alive, gone = np.ones(ids.size, bool), 0
+        while gone < left.size:
+            if at == wave.size:  # a component is complete, the next one starts
+                k = int(np.argmax(alive))
+                at, wave, alive[k], gone = 0, left[k : k + 1], False, gone + 1
+            head, at = wave[at], at + 1
+            far = np.zeros(left.size, np.uint16)
+            for w in range(first):
+                far += np.bitwise_count(cols[w] ^ fp[head, w])
+            near = np.flatnonzero((far <= radius) & alive)
+            near = near[np.bitwise_count(fp[left[near]] ^ fp[head]).sum(axis=1) <= radius]
+            if near.size:
+                a.append(np.full(near.size, ids[head]))
+                b.append(ids[left[near]])
+                wave = np.append(wave[at:], left[near])
+                at, alive[near], gone = 0, False, gone + near.size
+            if 2 * gone > left.size:
+                left, cols = left[alive], np.ascontiguousarray(cols[:, alive])
+                alive, gone = np.ones(left.size, bool), 0
 
     def verify(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]

@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import lm, media, quality_classifier, simhash, substring_dedup, toxicity
@@ -123,3 +124,25 @@ def test_similar_documents(spark):
     out = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(out[2 * k + 1] == 2 * k for k in range(n)) >= 0.95 * n
     assert all(out[2 * k] == 2 * k for k in range(n))
+
+
+def test_wide_links_of_large_buckets():
+    """A member that links to the first one is still held against the rest, in buckets of any size."""
+    rng = np.random.default_rng(6)
+    bits = np.zeros((400, 512), np.uint8)
+    for k in range(1, 100):  # variants of the first member
+        bits[k, rng.choice(512, 80, replace=False)] = 1
+    bits[100] = bits[7]
+    bits[100, np.flatnonzero(bits[7] == 0)[:90]] = 1  # near the variant 7 only
+    for k in range(101, 250):  # each within the radius of an earlier one
+        bits[k] = bits[rng.integers(100, k)]
+        bits[k, rng.choice(512, 70, replace=False)] ^= 1
+    bits[250:] = rng.integers(0, 2, (150, 512))
+    far = (bits[:, None] != bits[None]).sum(axis=2)
+    assert far[0, 100] > 93 >= far[7, 100]
+    fp = pa.array([np.packbits(x, bitorder="little").tobytes() for x in bits], pa.binary())
+    ids = np.arange(400)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(400, 9)), pa.array(ids), fp], ["bucket", "id", "fp"])
+    found = {x: y for out in simhash._wide_links(8, 93)(iter([batch])) for x, y in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)}
+    want = brute.roots(400, lambda a, b: far[a, b] <= 93)
+    assert found == {k: r for k, r in enumerate(want) if r != k}
