@@ -3,18 +3,17 @@
 Counts of all words and word pairs are gathered over the whole training part:
 batches send their distinct n-grams with counts to shards by hash.  Each shard
 quantises counts on a logarithmic scale and stores an n-gram of level q as q
-events in its segment of a Bloom filter; the segments, whose sizes sum to
-``filter_bytes`` at most, make the filter that is broadcast.  A lookup probes
-the events 1, 2, ... until one is absent.  Where a segment would be too full
-for ``bits`` a stored event, the shard leaves out the pairs of lowest level
-first and then the words: the model gets coarser, never larger.
+events in its segment of a Bloom filter, ``bits`` for each event.  A lookup
+probes the events 1, 2, ... until one is absent.  Shards look up what batches
+sent, held-out text's n-grams too, and answer with levels: no node holds more
+than one segment, and the filter grows with the corpus.
 
 P(w | h) interpolates the pair's share of its history with the smoothed word
 probability; the weight is the share of training tokens whose pair occurs at
 least twice, the level from which pairs are stored.
 
-Exact word counts for the base score go back to the batches that asked, so the
-vocabulary is never collected or broadcast.
+Exact word counts for the base score go back with the levels, so the vocabulary
+is never collected or broadcast.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id is
 training text; repeated rows score equally and count each; without training
@@ -80,17 +79,12 @@ class LogFilter:
 
 
 def segment(word: np.ndarray, word_level: np.ndarray, pair: np.ndarray, pair_level: np.ndarray, most_bits: int, bits: float) -> np.ndarray:
-    """A segment's bytes; n-grams of the lowest levels stay out until the rest fits."""
+    """A segment's bytes: all words, and all pairs of level 2 or more."""
     least_pair, least_word = 2, 1
-    room = most_bits / bits
-    by_word, by_pair = np.bincount(word_level, minlength=MAX_LEVEL + 2), np.bincount(pair_level, minlength=MAX_LEVEL + 2)
-    q = np.arange(MAX_LEVEL + 2)
-    events = lambda: (by_word * q)[least_word:].sum() + (by_pair * q)[least_pair:].sum()
-    while events() > room and least_pair <= MAX_LEVEL:
-        least_pair += 1
-    while events() > room and least_word <= MAX_LEVEL:
-        least_word += 1
-    size = int(min(most_bits, -(-int(events() * bits) // 8) * 8))
+    events = int(word_level.sum(dtype=np.int64)) + int(pair_level[pair_level >= least_pair].sum(dtype=np.int64))
+    size = -(-int(events * bits) // 8) * 8
+    if size > most_bits:
+        raise ValueError(f"{events} events need {size} bits, over the {most_bits} of a segment; use more shards")
     out = np.zeros(size, bool)
     for h, level, least in ((word, word_level, least_word), (pair, pair_level, least_pair)):
         h, level = h[level >= least], level[level >= least]
@@ -128,7 +122,7 @@ def _squeeze(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted 40-bit keys as steps of 3 (or 5) bytes, and the counts that aren't 1."""
     steps = np.diff(keys, prepend=keys[:1])
     width = 3 if int(steps.max(initial=0)) < 1 << 24 else 5
-    many = np.flatnonzero(counts > 1)
+    many = np.flatnonzero(counts != 1)
     head = np.array([keys.size, keys[0] if keys.size else 0, width, many.size], "<u8").tobytes()
     return head + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + many.astype("<u4").tobytes() + counts[many].astype("<u4").tobytes()
 
@@ -158,8 +152,8 @@ def _counts(shards: int):
                     train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), s.sizes)
                     keys, back = np.unique(s.tokens, return_inverse=True)
                     words.append((keys, np.bincount(back, train, keys.size).astype(np.int64)))
-                    keys, times = np.unique(s.pairs[train] >> _PAIR_SHIFT, return_counts=True)
-                    pairs.append((keys, times))
+                    keys, back = np.unique(s.pairs >> _PAIR_SHIFT, return_inverse=True)
+                    pairs.append((keys, np.bincount(back, train, keys.size).astype(np.int64)))
                 if not words:
                     continue
                 (word, word_n), (pair, pair_n) = _merged(words), _merged(pairs)
@@ -175,26 +169,32 @@ def _counts(shards: int):
     return run
 
 
-_ANSWERS = "shard long, bid long, counts binary, segment binary, tokens long, vocabulary long, pair_tokens long"
+_ANSWERS = "shard long, bid long, counts binary, word_levels binary, pair_levels binary, tokens long, vocabulary long, pair_tokens long"
+_MOST_BITS = 1 << 32  # what LogFilter.spots can address
 
 
-def _tally(most_bits: int, bits: float):
-    """One shard: the filter segment, and for each batch the counts of the words it sent, in its order."""
+def _tally(bits: float):
+    """One shard: for each batch the counts and levels of the words and the levels of the pairs it sent, in its order."""
 
     def run(table: pa.Table) -> pa.Table:
         sent = [np.frombuffer(x.as_py(), tk.U) for x in table.column("words")]
         times = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in table.column("word_n")]
         word, word_n = _merged(list(zip(sent, times, strict=True)))
-        pair, pair_n = _merged([_unsqueeze(x.as_py()) for x in table.column("pairs")])
+        squeezed = [_unsqueeze(x.as_py()) for x in table.column("pairs")]
+        pair, pair_n = _merged(squeezed)
         pair_level = levels(pair_n)
-        piece = segment(word, levels(word_n), pair << _PAIR_SHIFT, pair_level, most_bits, bits)
+        piece = segment(word, levels(word_n), pair << _PAIR_SHIFT, pair_level, _MOST_BITS, bits)
+        model = LogFilter(np.append(piece, np.uint8(0)), np.array([0, 8 * piece.size]))
+        word_found, pair_found = model.lookup(word), model.lookup(pair << _PAIR_SHIFT)
         n, shard = table.num_rows, table.column("shard")[0].as_py()
+        places = [np.searchsorted(word, x) for x in sent]
         return pa.table(
             {
                 "shard": pa.array([shard] * (n + 1), pa.int64()),
                 "bid": pa.concat_arrays([*table.column("bid").chunks, pa.array([None], pa.int64())]),
-                "counts": pa.array([word_n[np.searchsorted(word, x)].astype("<u4").tobytes() for x in sent] + [None], pa.binary()),
-                "segment": pa.array([None] * n + [piece.tobytes()], pa.binary()),
+                "counts": pa.array([word_n[at].astype("<u4").tobytes() for at in places] + [None], pa.binary()),
+                "word_levels": pa.array([word_found[at].tobytes() for at in places] + [None], pa.binary()),
+                "pair_levels": pa.array([pair_found[np.searchsorted(pair, x)].tobytes() for x, _ in squeezed] + [None], pa.binary()),
                 "tokens": pa.array([None] * n + [int(word_n.sum())], pa.int64()),
                 "vocabulary": pa.array([None] * n + [int((word_n > 0).sum())], pa.int64()),
                 "pair_tokens": pa.array([None] * n + [int(pair_n[pair_level >= 2].sum())], pa.int64()),
@@ -207,39 +207,39 @@ def _tally(most_bits: int, bits: float):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, held_out: F.Column | None = None, filter_bytes: int = 32 << 20, bits: float = 10.0, shard_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: F.Column | None = None, bits: float = 10.0, shard_bytes: int = 8 << 20) -> DataFrame:
     """Score every document with the model of those that aren't held out."""
     out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0 if held_out is None else held_out
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(out, F.lit(False)).alias("held_out"))
     batches = batch_table(slim, "lm-batches")
     shards = max(8, input_bytes(batches) // shard_bytes)
     sent = batches.mapInArrow(tk.tidy(_counts(shards)), "shard long, bid long, words binary, word_n binary, pairs binary")
-    answers = saved(sent.groupBy("shard").applyInArrow(_tally(filter_bytes * 8 // shards, bits), _ANSWERS), "lm-answers")
-    spark = docs.sparkSession
-    pieces = {r["shard"]: r for r in answers.where("bid is null").select("shard", "segment", "tokens", "vocabulary", "pair_tokens").collect()}  # filter_bytes at most
-    tokens, vocabulary, again = (sum(r[c] for r in pieces.values()) for c in ("tokens", "vocabulary", "pair_tokens"))
-    segments = [np.frombuffer(pieces[k]["segment"], np.uint8) if k in pieces else np.zeros(0, np.uint8) for k in range(shards)]
-    starts = np.append(0, np.cumsum([8 * s.size for s in segments]))
-    shipped = spark.sparkContext.broadcast((np.concatenate([*segments, np.zeros(1, np.uint8)]), starts))
+    answers = saved(sent.groupBy("shard").applyInArrow(_tally(bits), _ANSWERS), "lm-answers")
+    tokens, vocabulary, again = (x or 0 for x in answers.where("bid is null").agg(F.sum("tokens"), F.sum("vocabulary"), F.sum("pair_tokens")).first())
     weight = min(0.9, max(0.01, again / max(tokens, 1)))
     total = tokens + 0.1 * (vocabulary + 1)
 
     def run(bid: int, rows: pa.RecordBatch, found: pa.Table) -> list[pa.Table]:
-        model, stands = LogFilter(*shipped.value), level_counts()
+        stands = level_counts()
         order = np.argsort(found.column("shard").to_numpy())
-        blobs = found.column("counts").to_pylist()
-        counts = np.frombuffer(b"".join(blobs[k] for k in order.tolist()), "<u4").astype(np.int64)
+
+        def answer(name: str, kind: str) -> np.ndarray:
+            blobs = found.column(name)
+            return np.frombuffer(b"".join(blobs[k].as_py() for k in order.tolist()), kind)
+
+        counts = answer("counts", "<u4").astype(np.int64)
         parts = [(at, part, Sequences(part.column("text"))) for at, part in doc_slices(rows, limit=4 << 20)]
         word = np.unique(np.concatenate([np.unique(s.tokens) for _, _, s in parts])) if parts else np.zeros(0, tk.U)
+        pairs = np.unique(np.concatenate([np.unique(s.pairs >> _PAIR_SHIFT) for _, _, s in parts])) if parts else np.zeros(0, tk.U)
         log_base = np.log10((counts + 0.1) / total)
-        about = stands[model.lookup(word)]
+        about, pair_levels = stands[answer("word_levels", "u1")], answer("pair_levels", "u1")
         p_word = (about + 0.1) / total
         out = []
         for _, part, s in parts:
             at = np.searchsorted(word, s.tokens)
             before = np.append(np.searchsorted(word, END), at[:-1])
             pair, back = np.unique(s.pairs >> _PAIR_SHIFT, return_inverse=True)
-            joint = stands[model.lookup(pair << _PAIR_SHIFT)][back]
+            joint = stands[pair_levels[np.searchsorted(pairs, pair)]][back]
             share = np.minimum(joint / np.maximum(about[before], 1.0), 1.0)
             logs = np.log10(weight * share + (1 - weight) * p_word[at])
             out.append(
@@ -257,4 +257,4 @@ def score_documents(docs: DataFrame, held_out: F.Column | None = None, filter_by
             )
         return out
 
-    return answered(batches, answers.where("bid is not null").select("bid", "shard", "counts"), run, SCORES)
+    return answered(batches, answers.where("bid is not null").select("bid", "shard", "counts", "word_levels", "pair_levels"), run, SCORES)

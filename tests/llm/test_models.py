@@ -1,10 +1,12 @@
 """Classifiers on held-out labels, the language model on held-out text, the archive reader and the pipeline."""
 
 import os
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import lm, media, quality_classifier, simhash, substring_dedup, toxicity
 from sparkloom.llm.components import components, stars
@@ -68,6 +70,31 @@ def test_lm_filter():
     assert (found >= level).all() and (found == level).mean() > 0.8
 
 
+def test_lm_filter_keeps_all():
+    h = np.arange(1, 1001, dtype=np.uint64) << np.uint64(40)
+    with pytest.raises(ValueError, match="more shards"):  # never fewer n-grams
+        lm.segment(h, np.ones(1000, np.int64), h, np.full(1000, 2), 8000, 10.0)
+
+
+def test_lm_scores(spark):
+    """Scores by exact counts, with more events than fit 32 MB at this many bits an event."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 2000, 100)) for _ in range(100)] * 2 + [f"w{k} w{k + 1} unseen{k}" for k in range(20)]
+    held = [k >= 200 or k % 10 == 3 for k in range(220)]
+    tokens = [["", *t.split(), ""] for t in texts]  # an end token is before the first word and after the last
+    train = [ws for ws, out in zip(tokens, held, strict=True) if not out]
+    one = Counter(w for ws in train for w in ws[1:])
+    two = Counter(p for ws in train for p in zip(ws[:-1], ws[1:], strict=True))
+    stands = lambda n: float(lm.level_counts()[lm.levels(np.array([n]))][0])
+    n, weight = sum(one.values()), sum(c for c in two.values() if c > 1) / sum(one.values())
+    p = lambda h, w: weight * (min(stands(two[h, w]) / max(stands(one[h]), 1), 1) if two[h, w] > 1 else 0) + (1 - weight) * (stands(one[w]) + 0.1) / (n + 0.1 * (len(one) + 1))
+    weight = min(0.9, max(0.01, weight))
+    want = [sum(np.log10(p(h, w)) for h, w in zip(ws[:-1], ws[1:], strict=True)) for ws in tokens]
+    docs = spark.createDataFrame([(k, t, out) for k, (t, out) in enumerate(zip(texts, held, strict=True))], "doc_id long, text string, out boolean")
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, F.col("out"), bits=10000.0).collect()}
+    assert [got[k] for k in range(220)] == pytest.approx(want, abs=1e-6)
+
+
 @pytest.mark.parametrize("query", [media.media_round_trip, lm.score_documents, simhash.near_duplicates, substring_dedup.removal_report, substring_dedup.without_repeats, simhash.deduplicated])
 def test_empty_tables(none, query):
     assert query(none).count() == 0
