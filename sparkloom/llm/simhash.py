@@ -285,17 +285,31 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, bucket_r
 _WIDE = "id long, fp binary"
 
 
+SHORT = 20
+
+
+def distinct_shingles(hashes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's hashes once, ascending, and the index of its first."""
+    rows = np.repeat(np.arange(heads.size - 1), np.diff(heads))
+    order = np.lexsort((hashes, rows))
+    hashes, rows = hashes[order], rows[order]
+    new = np.ones(hashes.size, bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+    return hashes[new], np.append(0, np.cumsum(np.bincount(rows[new], minlength=heads.size - 1)))
+
+
 def wide_fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """doc_id and a fingerprint of ``words`` times 64 bits, each from another mix of the shingle hashes."""
+    """doc_id, a fingerprint of ``words`` times 64 bits, each from another mix of the distinct shingles' hashes, and these themselves where they are ``SHORT`` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.text_slices(batch):
-                hashes, heads = shingle_hashes(part.column("text"), shingle)
+                hashes, heads = distinct_shingles(*shingle_hashes(part.column("text"), shingle))
+                few = [hashes[a:b].tobytes() if b - a <= SHORT else None for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True)]
                 fp = np.stack([majority(hashes if k == 0 else tk.mix(hashes + np.uint64(k)), heads) for k in range(words)], axis=1)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in fp], pa.binary())], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(few, pa.binary())], ["doc_id", "fp", "few"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tk.tidy(run), "doc_id long, fp binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tk.tidy(run), "doc_id long, fp binary, few binary")
 
 
 def _rows_of(column: pa.Array, words: int) -> np.ndarray:
@@ -427,6 +441,67 @@ def _wide_links(words: int, radius: int):
     return run
 
 
+def _short_keys(similarity: float):
+    """Rows (bucket, id, few): sets of that similarity share one of their first size - needed + 1 members in any one order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.int64) for x in batch.column("few").to_pylist()]
+            takes = [x.size - int(np.ceil(similarity * x.size - 1e-9)) + 1 if x.size else 0 for x in sets]
+            at = np.repeat(np.arange(len(sets)), takes)
+            bucket = np.concatenate([np.zeros(0, np.int64), *(x[:k] for x, k in zip(sets, takes, strict=True))])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column("id").take(pa.array(at)), batch.column("few").take(pa.array(at))], ["bucket", "id", "few"])
+
+    return run
+
+
+def _short_links(similarity: float):
+    """Stars with the components of all pairs of small sets of that Jaccard similarity in each bucket."""
+
+    def of_bucket(ids: np.ndarray, sets: list[bytes], a: list, b: list) -> None:
+        size = np.array([len(x) // 8 for x in sets])
+        flat, owner = np.frombuffer(b"".join(sets), np.uint64), np.repeat(np.arange(size.size), size)
+        order = np.argsort(flat, kind="stable")
+        member, owner = flat[order], owner[order]
+        alive, wave = np.ones(size.size, bool), []
+        for k in range(size.size):  # what was reached is held against all that wasn't
+            if alive[k]:
+                wave, alive[k] = [k], False
+            while wave:
+                head = wave.pop()
+                own = np.frombuffer(sets[head], np.uint64)
+                lo, hi = np.searchsorted(member, own), np.searchsorted(member, own, "right")
+                common = np.bincount(np.concatenate([owner[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]), minlength=size.size)
+                near = np.flatnonzero(alive & (common >= similarity * (size + size[head] - common) - 1e-9))
+                a.append(np.full(near.size, ids[head]))
+                b.append(ids[near])
+                alive[near] = False
+                wave += near.tolist()
+
+    def verify(bucket: np.ndarray, ids: np.ndarray, sets: list[bytes]) -> Iterator[pa.RecordBatch]:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1)), bucket.size)
+        for k in np.flatnonzero(np.diff(cuts) > 1).tolist():
+            of_bucket(ids[cuts[k] : cuts[k + 1]], sets[cuts[k] : cuts[k + 1]], a, b)
+        x, y = stars(np.concatenate(a), np.concatenate(b))
+        if x.size:
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, ids, sets = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        for batch in batches:
+            bucket, ids = np.append(bucket, batch.column("bucket").to_numpy()), np.append(ids, batch.column("id").to_numpy())
+            sets += batch.column("few").to_pylist()
+            cut = int(np.searchsorted(bucket, bucket[-1])) if bucket.size >= 100_000 else 0  # the last bucket may go on
+            if cut:
+                yield from verify(bucket[:cut], ids[:cut], sets[:cut])
+                bucket, ids, sets = bucket[cut:], ids[cut:], sets[cut:]
+        if bucket.size:
+            yield from verify(bucket, ids, sets)
+
+    return run
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, recall: float = 0.97) -> DataFrame:
     """(doc_id, component_id) of all documents with a doc_id, linked where the Jaccard similarity of shingles is estimated at ``similarity`` or more.
 
@@ -435,13 +510,16 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     that guarantees such pairs by the pigeonhole would probe nearly all pairs,
     so the thresholds are allocated for a recall at the border; it is higher
     for closer pairs.  Verification is over all bits, two standard deviations
-    past the expected distance.
+    past the expected distance.  Pairs of texts with at most ``SHORT`` distinct
+    shingles are compared by these, exactly and all of them; shorter texts than
+    such a similarity to a longer one allows stay out of the fingerprint search.
     """
     differs = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     size = words * BITS
     radius = int(size * differs + 2 * (size * differs * (1 - differs)) ** 0.5)
     fps = saved(wide_fingerprints(docs, shingle, words).where("doc_id is not null"), "simhash-wide")
-    distinct = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-wide-distinct")
+    nodes = saved(fps.groupBy("fp", "few").agg(F.min("doc_id").alias("id")), "simhash-wide-distinct")
+    distinct = nodes.where((F.col("few").isNull()) | (F.length("few") >= 8 * int(np.ceil(similarity * (SHORT + 1) - 1e-9))))
     both = np.zeros((words, BITS, BITS))
     for ij, n in distinct.select("fp").mapInArrow(tk.tidy(_wide_bit_counts(words)), "ij long, n long").groupBy("ij").sum("n").collect():
         w, i, j = ij // BITS // BITS, ij // BITS % BITS, ij % BITS
@@ -449,9 +527,11 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     plan = plan_recall(distinct.count(), both, differs, recall)
     keys = distinct.select("id", "fp").mapInArrow(tk.tidy(_wide_keys(plan, words)), "bucket long, id long, fp binary")
     found = keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tk.tidy(_wide_links(words, radius)), "a long, b long")
+    sets = nodes.where("few is not null").select("id", "few").mapInArrow(tk.tidy(_short_keys(similarity)), "bucket long, id long, few binary")
+    found = found.union(sets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tk.tidy(_short_links(similarity)), "a long, b long"))
     roots = components(saved(found.distinct(), "simhash-wide-links"))
-    classes = distinct.join(roots, distinct["id"] == roots["node"], "left").select(F.col("fp").alias("f"), F.coalesce("root", "id").alias("component_id"))
-    return fps.join(classes, fps["fp"] == classes["f"]).select("doc_id", "component_id")
+    classes = nodes.join(roots, nodes["id"] == roots["node"], "left").select(F.col("fp").alias("f"), F.col("few").alias("s"), F.coalesce("root", "id").alias("component_id"))
+    return fps.join(classes, (fps["fp"] == classes["f"]) & fps["few"].eqNullSafe(classes["s"])).select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -173,3 +173,23 @@ def test_wide_links_of_large_buckets():
     found = {x: y for out in simhash._wide_links(8, 93)(iter([batch])) for x, y in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)}
     want = brute.roots(400, lambda a, b: far[a, b] <= 93)
     assert found == {k: r for k, r in enumerate(want) if r != k}
+
+
+def test_similar_sets(spark):
+    """Short texts against brute force over all pairs; repetitions of shingles don't count."""
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(5000)]
+    texts = ["", "one"]
+    for _ in range(60):
+        base = rng.choice(words, rng.integers(5, 25)).tolist()
+        texts += [" ".join(x) for x in (base, [*base, "more"], [*base, "a", "b"], ["x", *base[1:]], [*base[:-1], "y"], ["at", *base, "end"])]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for t in texts]
+    short = [k for k in range(len(texts)) if len(sets[k]) <= 20]
+    texts, sets = [texts[k] for k in short], [sets[k] for k in short]
+    line = " ".join(rng.choice(words, 30))
+    rest = " ".join(rng.choice(words, 40))
+    n = len(texts)
+    texts += [f"{line} " * 2 + rest, f"{line} " * 40 + rest]  # the same set of shingles
+    out = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [out[k] for k in range(n)] == brute.roots(n, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert out[n + 1] == n
