@@ -5,19 +5,33 @@ batches send their distinct n-grams with counts to shards by hash.  Each shard
 quantises counts on a logarithmic scale and stores an n-gram of level q as q
 events in its segment of a Bloom filter, ``bits`` for each event.  A lookup
 probes the events 1, 2, ... until one is absent.  Shards look up what batches
-sent, held-out text's n-grams too, and answer with levels: no node holds more
-than one segment, and the filter grows with the corpus.
+sent, held-out text's n-grams too, and answer with levels.  No n-gram is left
+out, so the filter grows with the corpus; that is why its segments stay where
+the shards are, and what is broadcast in the textbook form is asked for instead.
 
-P(w | h) interpolates the pair's share of its history with the smoothed word
-probability; the weight is the share of training tokens whose pair occurs at
-least twice, the level from which pairs are stored.
+With c(h, w) the count that stands for the pair's level, M(h) the sum of these
+over the history's pairs and T(h) their number,
 
+    P(w | h) = (c(h, w) + T(h) P(w)) / (M(h) + T(h)),  P(w) = (c(w) + 0.1) / total,
+
+so that the probabilities after a history sum to 1 over the words and one
+unknown word.  M and T are taken over looked-up levels: a level that the filter
+overstates is in its history's sum too, and only pairs that were never stored
+can add mass, each with the filter's error rate (about ``2 ** -PROBES`` at the
+default size).  Histories are told apart by the upper 32 bits of their hash, the
+words after one history by the upper 32 bits of theirs.
+
+A pair's shard adds up its part of each history and sends it to the history's
+shard, so the pairs of one frequent word are spread over all shards.  A batch
+sends a shard one row, if any: never more rows than it has distinct n-grams.
 Exact word counts for the base score go back with the levels, so the vocabulary
 is never collected or broadcast.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id is
-training text; repeated rows score equally and count each; without training
-text all counts are 0; empty tables give empty results.
+training text; repeated rows score equally and count each; equal counts get
+equal levels; without training text all counts are 0; a long text is read in
+whole, within the memory of its batch; empty tables give empty results; columns
+other than doc_id and text (and those of ``held_out``) are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +48,7 @@ from sparkloom.llm.batches import answered, batch_table, by_shard, doc_slices, f
 from sparkloom.llm.shared import input_bytes, saved
 
 END = tk.mix(np.array([0x656E64], tk.U))
-PROBES, LOG_BASE, MAX_LEVEL = 5, 1.5, 64
+PROBES, LOG_BASE, MAX_LEVEL = 11, 1.5, 64
 _LOWEST = np.ceil(LOG_BASE ** np.arange(MAX_LEVEL + 1))  # least count of level q + 1
 _SALT = tk.mix(np.arange(1, (MAX_LEVEL + 2) * PROBES + 1, dtype=tk.U)).reshape(-1, PROBES)
 
@@ -79,15 +93,13 @@ class LogFilter:
 
 
 def segment(word: np.ndarray, word_level: np.ndarray, pair: np.ndarray, pair_level: np.ndarray, most_bits: int, bits: float) -> np.ndarray:
-    """A segment's bytes: all words, and all pairs of level 2 or more."""
-    least_pair, least_word = 2, 1
-    events = int(word_level.sum(dtype=np.int64)) + int(pair_level[pair_level >= least_pair].sum(dtype=np.int64))
+    """A segment's bytes: all words and pairs of level 1 or more."""
+    events = int(word_level.sum(dtype=np.int64)) + int(pair_level.sum(dtype=np.int64))
     size = -(-int(events * bits) // 8) * 8
     if size > most_bits:
         raise ValueError(f"{events} events need {size} bits, over the {most_bits} of a segment; use more shards")
     out = np.zeros(size, bool)
-    for h, level, least in ((word, word_level, least_word), (pair, pair_level, least_pair)):
-        h, level = h[level >= least], level[level >= least]
+    for h, level in ((word, word_level), (pair, pair_level)):
         for k in range(1, int(level.max(initial=0)) + 1):
             h, level = h[level >= k], level[level >= k]
             for probe in range(PROBES):
@@ -95,6 +107,9 @@ def segment(word: np.ndarray, word_level: np.ndarray, pair: np.ndarray, pair_lev
     return np.packbits(out, bitorder="little")
 
 
+_UPPER = np.uint64(0xFFFFFFFF00000000)
+
+
 class Sequences:
     """Token hashes of a slice: the words of each text and its end."""
 
@@ -106,7 +121,7 @@ class Sequences:
         self.sizes = np.diff(firsts) + 1
         self.firsts = np.append(0, np.cumsum(self.sizes))
         self.before = np.concatenate([END, self.tokens[:-1]])
-        self.pairs = tk.mix(self.before * tk._M3 + self.tokens)
+        self.pairs = self.before & _UPPER | self.tokens >> np.uint64(32)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,29 +134,32 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _squeeze(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted 40-bit keys as steps of 3 (or 5) bytes, and the counts that aren't 1."""
-    steps = np.diff(keys, prepend=keys[:1])
-    width = 3 if int(steps.max(initial=0)) < 1 << 24 else 5
+    """Keys, and the counts that aren't 1."""
     many = np.flatnonzero(counts != 1)
-    head = np.array([keys.size, keys[0] if keys.size else 0, width, many.size], "<u8").tobytes()
-    return head + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + many.astype("<u4").tobytes() + counts[many].astype("<u4").tobytes()
+    return np.array([keys.size, many.size], "<i8").tobytes() + keys.tobytes() + counts[many].astype("<i8").tobytes() + many.astype("<u4").tobytes()
 
 
 def _unsqueeze(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, first, width, many = (int(x) for x in np.frombuffer(blob, "<u8", 4))
-    steps = np.zeros((n, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(blob, np.uint8, n * width, 32).reshape(n, width)
-    keys = np.cumsum(steps.view("<u8").ravel()) + np.uint64(first)
+    n, many = (int(x) for x in np.frombuffer(blob, "<i8", 2))
     counts = np.ones(n, np.int64)
-    at = 32 + n * width
-    counts[np.frombuffer(blob, "<u4", many, at)] = np.frombuffer(blob, "<u4", many, at + 4 * many)
-    return keys, counts
+    counts[np.frombuffer(blob, "<u4", many, 16 + 8 * (n + many))] = np.frombuffer(blob, "<i8", many, 16 + 8 * n)
+    return np.frombuffer(blob, tk.U, n, 16), counts
 
 
-_PAIR_SHIFT = np.uint64(24)
+def _pair_parts(pairs: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted pairs: an order by shard that keeps pairs sorted, the shards that occur and the bounds of each."""
+    shard = (tk.mix(pairs) >> np.uint64(32)).astype(np.int64) * shards >> 32
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    return order, shard[order[cuts]], np.append(cuts, pairs.size)
+
+
+_SENT = "shard long, bid long, words binary, pairs binary"
 
 
 def _counts(shards: int):
+    """What a batch sends to each shard: its distinct words and pairs with their counts in training text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bid, rows in zip(batch.column("bid").to_pylist(), batch.column("rows"), strict=True):
@@ -150,98 +168,138 @@ def _counts(shards: int):
                 for _, part in doc_slices(docs, limit=4 << 20):
                     s = Sequences(part.column("text"))
                     train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), s.sizes)
-                    keys, back = np.unique(s.tokens, return_inverse=True)
-                    words.append((keys, np.bincount(back, train, keys.size).astype(np.int64)))
-                    keys, back = np.unique(s.pairs >> _PAIR_SHIFT, return_inverse=True)
-                    pairs.append((keys, np.bincount(back, train, keys.size).astype(np.int64)))
+                    for keys, into in ((s.tokens, words), (s.pairs, pairs)):
+                        keys, back = np.unique(keys, return_inverse=True)
+                        into.append((keys, np.bincount(back, train, keys.size).astype(np.int64)))
                 if not words:
                     continue
                 (word, word_n), (pair, pair_n) = _merged(words), _merged(pairs)
-                w_shard, w_cuts = by_shard(word, shards)
-                p_shard, p_cuts = by_shard(pair << _PAIR_SHIFT, shards)
-                of_word = dict(zip(w_shard.tolist(), zip(w_cuts[:-1].tolist(), w_cuts[1:].tolist(), strict=True), strict=True))
-                of_pair = dict(zip(p_shard.tolist(), zip(p_cuts[:-1].tolist(), p_cuts[1:].tolist(), strict=True), strict=True))
+                shard, cuts = by_shard(word, shards)
+                of_word = dict(zip(shard.tolist(), zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), strict=True))
+                order, shard, cuts = _pair_parts(pair, shards)
+                pair, pair_n = pair[order], pair_n[order]
+                of_pair = dict(zip(shard.tolist(), zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), strict=True))
                 for shard in sorted(of_word.keys() | of_pair.keys()):
                     a, b = of_word.get(shard, (0, 0))
                     c, d = of_pair.get(shard, (0, 0))
-                    yield pa.RecordBatch.from_pydict({"shard": [shard], "bid": [bid], "words": [word[a:b].tobytes()], "word_n": [word_n[a:b].astype("<u4").tobytes()], "pairs": [_squeeze(pair[c:d], pair_n[c:d])]})
+                    yield pa.RecordBatch.from_pydict({"shard": [shard], "bid": [bid], "words": [_squeeze(word[a:b], word_n[a:b])], "pairs": [_squeeze(pair[c:d], pair_n[c:d])]})
 
     return run
 
 
-_ANSWERS = "shard long, bid long, counts binary, word_levels binary, pair_levels binary, tokens long, vocabulary long, pair_tokens long"
 _MOST_BITS = 1 << 32  # what LogFilter.spots can address
+_TALLY = "kind string, shard long, bid long, words binary, word_n binary, word_levels binary, pair_levels binary, tokens long, vocabulary long, mass double"
+#: One history's part from a shard: the upper half of its hash, the sum of its pairs' counts and their number.
+_PART = np.dtype([("history", "<u8"), ("mass", "<f8"), ("kinds", "<i8")])
 
 
-def _tally(bits: float):
-    """One shard: for each batch the counts and levels of the words and the levels of the pairs it sent, in its order."""
+def _tally(bits: float, shards: int):
+    """One shard: levels of what each batch sent, in its order; parts of histories for their shards; totals."""
 
     def run(table: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(x.as_py(), tk.U) for x in table.column("words")]
-        times = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in table.column("word_n")]
-        word, word_n = _merged(list(zip(sent, times, strict=True)))
+        tk.release()
+        sent = [_unsqueeze(x.as_py()) for x in table.column("words")]
+        word, word_n = _merged(sent)
         squeezed = [_unsqueeze(x.as_py()) for x in table.column("pairs")]
         pair, pair_n = _merged(squeezed)
-        pair_level = levels(pair_n)
-        piece = segment(word, levels(word_n), pair << _PAIR_SHIFT, pair_level, _MOST_BITS, bits)
+        piece = segment(word, levels(word_n), pair, levels(pair_n), _MOST_BITS, bits)
         model = LogFilter(np.append(piece, np.uint8(0)), np.array([0, 8 * piece.size]))
-        word_found, pair_found = model.lookup(word), model.lookup(pair << _PAIR_SHIFT)
-        n, shard = table.num_rows, table.column("shard")[0].as_py()
-        places = [np.searchsorted(word, x) for x in sent]
-        return pa.table(
-            {
-                "shard": pa.array([shard] * (n + 1), pa.int64()),
-                "bid": pa.concat_arrays([*table.column("bid").chunks, pa.array([None], pa.int64())]),
-                "counts": pa.array([word_n[at].astype("<u4").tobytes() for at in places] + [None], pa.binary()),
-                "word_levels": pa.array([word_found[at].tobytes() for at in places] + [None], pa.binary()),
-                "pair_levels": pa.array([pair_found[np.searchsorted(pair, x)].tobytes() for x, _ in squeezed] + [None], pa.binary()),
-                "tokens": pa.array([None] * n + [int(word_n.sum())], pa.int64()),
-                "vocabulary": pa.array([None] * n + [int((word_n > 0).sum())], pa.int64()),
-                "pair_tokens": pa.array([None] * n + [int(pair_n[pair_level >= 2].sum())], pa.int64()),
-            }
-        )
+        word_found, pair_found = model.lookup(word), model.lookup(pair)
+        stands, n, shard = level_counts(), table.num_rows, table.column("shard")[0].as_py()
+        stored = np.flatnonzero(pair_n > 0)
+        history = pair[stored] & _UPPER
+        heads = np.flatnonzero(np.append(True, history[1:] != history[:-1])) if stored.size else np.zeros(0, np.int64)
+        parts = np.zeros(heads.size, _PART)
+        if heads.size:
+            parts["history"], parts["mass"] = history[heads], np.add.reduceat(stands[pair_found[stored]], heads)
+            parts["kinds"] = np.diff(heads, append=stored.size)
+        to, cuts = by_shard(parts["history"], shards)
+        places = [np.searchsorted(word, x) for x, _ in sent]
+        asked = {
+            "kind": ["word"] * n,
+            "shard": [shard] * n,
+            "bid": table.column("bid").to_pylist(),
+            "words": [x.tobytes() for x, _ in sent],
+            "word_n": [word_n[at].tobytes() for at in places],
+            "word_levels": [word_found[at].tobytes() for at in places],
+        }
+        answers = {"kind": ["pair"] * n, "shard": [shard] * n, "bid": asked["bid"], "pair_levels": [pair_found[np.searchsorted(pair, x)].tobytes() for x, _ in squeezed]}
+        sums = {"kind": ["part"] * to.size, "shard": to.tolist(), "words": [parts[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]}
+        total = {"kind": ["total"], "tokens": [int(word_n.sum())], "vocabulary": [int((word_n > 0).sum())], "mass": [float(stands[word_found[word_n > 0]].sum())]}
+        schema = _arrow(_TALLY)
+        return pa.concat_tables(pa.table({f.name: pa.array(x.get(f.name, [None] * len(x["kind"])), f.type) for f in schema}, schema=schema) for x in (asked, answers, sums, total))
 
     return run
 
 
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[t]) for n, t in (c.split() for c in schema.split(", "))])
+
+
+_WORDS = "shard long, bid long, word_n binary, word_levels binary, mass binary, kinds binary"
+
+
+def _histories(key: tuple, asked: pa.Table, parts: pa.Table) -> pa.Table:
+    """One shard of words: what batches asked for, with the sums over each word's pairs."""
+    tk.release()
+    sums = np.frombuffer(b"".join(x.as_py() for x in parts.column("sums")), _PART)
+    sums = sums[np.argsort(sums["history"], kind="stable")]
+    heads = np.flatnonzero(np.append(True, sums["history"][1:] != sums["history"][:-1])) if sums.size else np.zeros(0, np.int64)
+    history = np.append(sums["history"][heads], np.uint64(0))
+    mass, kinds = (np.append(np.add.reduceat(sums[c], heads) if heads.size else sums[c], 0) for c in ("mass", "kinds"))
+    out: dict[str, list] = {"shard": [], "bid": [], "word_n": [], "word_levels": [], "mass": [], "kinds": []}
+    for row in asked.to_pylist():
+        own = np.frombuffer(row["words"], tk.U) & _UPPER
+        at = np.minimum(np.searchsorted(history[:-1], own), heads.size)
+        at[history[at] != own] = heads.size
+        for c, x in (("shard", row["shard"]), ("bid", row["bid"]), ("word_n", row["word_n"]), ("word_levels", row["word_levels"]), ("mass", mass[at].astype("<f8").tobytes()), ("kinds", kinds[at].astype("<i8").tobytes())):
+            out[c].append(x)
+    return pa.table(out, schema=_arrow(_WORDS))
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, held_out: F.Column | None = None, bits: float = 10.0, shard_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: F.Column | None = None, bits: float = 16.0, shard_bytes: int = 8 << 20) -> DataFrame:
     """Score every document with the model of those that aren't held out."""
     out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0 if held_out is None else held_out
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(out, F.lit(False)).alias("held_out"))
     batches = batch_table(slim, "lm-batches")
     shards = max(8, input_bytes(batches) // shard_bytes)
-    sent = batches.mapInArrow(tk.tidy(_counts(shards)), "shard long, bid long, words binary, word_n binary, pairs binary")
-    answers = saved(sent.groupBy("shard").applyInArrow(_tally(bits), _ANSWERS), "lm-answers")
-    tokens, vocabulary, again = (x or 0 for x in answers.where("bid is null").agg(F.sum("tokens"), F.sum("vocabulary"), F.sum("pair_tokens")).first())
-    weight = min(0.9, max(0.01, again / max(tokens, 1)))
-    total = tokens + 0.1 * (vocabulary + 1)
+    sent = batches.mapInArrow(tk.tidy(_counts(shards)), _SENT)
+    tally = saved(sent.groupBy("shard").applyInArrow(_tally(bits, shards), _TALLY), "lm-tally")
+    tokens, vocabulary, mass = (x or 0 for x in tally.where("kind = 'total'").agg(F.sum("tokens"), F.sum("vocabulary"), F.sum("mass")).first())
+    total, model_total = tokens + 0.1 * (vocabulary + 1), mass + 0.1 * (vocabulary + 1)
+    asked, parts = tally.where("kind = 'word'").select("shard", "bid", "words", "word_n", "word_levels"), tally.where("kind = 'part'").select(F.col("shard").alias("to"), F.col("words").alias("sums"))
+    words = asked.groupBy("shard").cogroup(parts.groupBy("to")).applyInArrow(_histories, _WORDS)
+    levels_of = tally.where("kind = 'pair'").select("shard", "bid", "pair_levels")
+    answers = words.withColumn("pair_levels", F.lit(None).cast("binary")).unionByName(levels_of, allowMissingColumns=True)
 
     def run(bid: int, rows: pa.RecordBatch, found: pa.Table) -> list[pa.Table]:
         stands = level_counts()
-        order = np.argsort(found.column("shard").to_numpy())
+        order = np.argsort(found.column("shard").to_numpy(), kind="stable")
 
         def answer(name: str, kind: str) -> np.ndarray:
             blobs = found.column(name)
-            return np.frombuffer(b"".join(blobs[k].as_py() for k in order.tolist()), kind)
+            return np.frombuffer(b"".join(x for k in order.tolist() if (x := blobs[k].as_py()) is not None), kind)
 
-        counts = answer("counts", "<u4").astype(np.int64)
         parts = [(at, part, Sequences(part.column("text"))) for at, part in doc_slices(rows, limit=4 << 20)]
         word = np.unique(np.concatenate([np.unique(s.tokens) for _, _, s in parts])) if parts else np.zeros(0, tk.U)
-        pairs = np.unique(np.concatenate([np.unique(s.pairs >> _PAIR_SHIFT) for _, _, s in parts])) if parts else np.zeros(0, tk.U)
+        pairs = np.unique(np.concatenate([np.unique(s.pairs) for _, _, s in parts])) if parts else np.zeros(0, tk.U)
+        pair_levels = np.zeros(pairs.size, np.uint8)
+        pair_levels[_pair_parts(pairs, shards)[0]] = answer("pair_levels", "u1")
+        counts, mass, kinds = answer("word_n", "<i8"), answer("mass", "<f8"), answer("kinds", "<i8")
         log_base = np.log10((counts + 0.1) / total)
-        about, pair_levels = stands[answer("word_levels", "u1")], answer("pair_levels", "u1")
-        p_word = (about + 0.1) / total
+        p_word = (stands[answer("word_levels", "u1")] + 0.1) / model_total
+        end = int(np.searchsorted(word, END[0]))
         out = []
         for _, part, s in parts:
             at = np.searchsorted(word, s.tokens)
-            before = np.append(np.searchsorted(word, END), at[:-1])
-            pair, back = np.unique(s.pairs >> _PAIR_SHIFT, return_inverse=True)
-            joint = stands[pair_levels[np.searchsorted(pairs, pair)]][back]
-            share = np.minimum(joint / np.maximum(about[before], 1.0), 1.0)
-            logs = np.log10(weight * share + (1 - weight) * p_word[at])
+            before = np.append(end, at[:-1])
+            joint, kind = stands[pair_levels[np.searchsorted(pairs, s.pairs)]], kinds[before]
+            seen = kind > 0
+            logs = np.log10(np.where(seen, (joint + kind * p_word[at]) / np.where(seen, mass[before] + kind, 1), p_word[at]))
             out.append(
                 pa.table(
                     {
@@ -257,4 +315,4 @@ def score_documents(docs: DataFrame, held_out: F.Column | None = None, bits: flo
             )
         return out
 
-    return answered(batches, answers.where("bid is not null").select("bid", "shard", "counts", "word_levels", "pair_levels"), run, SCORES)
+    return answered(batches, answers, run, SCORES)
