@@ -2,21 +2,28 @@
 
 ``write_archives`` stores one payload per row as an 8-bit grey PNG of 64 pixels
 a line inside tar archives, each with an index beside it.  ``MediaArchives`` is
-the reader: the driver plans byte ranges from the sparse table at the end of
-each index, executors stream batches of members through Arrow, and a member
-that can't be read is tried again by its own offset without touching the rest.
+the reader: the driver plans byte ranges from the archives' sizes alone, tasks
+find the first member of their range in the sparse table at the end of the
+index and stream batches of members through Arrow, and a member that can't be
+read is tried again by its own offset without touching the rest.
 
-Archives are named by partition and moved into place when complete, so a task
-that runs again after an executor is lost replaces its own archive only.
+Archives are named by partition and attempt, and the manifest, which Spark
+commits, names those of the attempts that count: a task that runs again after
+an executor is lost, or late, touches no other's archive.
+
+Paths are those of pyarrow's file systems; s3a:// and s3n:// are read as s3://.
 
 Defined cases: a null text is stored as an empty one; an empty payload is 64
-zero bytes; a null doc_id comes back null; empty tables give an empty folder
-and an empty result; columns other than doc_id and text are not read.
+zero bytes; a null doc_id comes back null; repeated rows are stored each by
+itself and come back equal; a long text is one member, held whole by the task
+that reads it; an empty table gives a folder without archives and an empty
+result; columns other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import time
 import zlib
@@ -25,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset as pads
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +40,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from sparkloom.llm import textkit as tk
-from sparkloom.llm.shared import new_folder, saved
+from sparkloom.llm.shared import new_folder
 
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -40,6 +48,7 @@ _STEP = 4 << 20
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
+    path = re.sub("^s3[an]://", "s3://", path)
     if "://" in path or path.startswith("file:"):
         return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path[5:])
     return pafs.LocalFileSystem(), path
@@ -113,10 +122,10 @@ class _Writer:
 
     def __init__(self, folder: str, part: int, attempt: int):
         self.fs, root = _open(folder)
-        self.to = f"{root}/part-{part:06d}"
-        self.tmp = f"{root}/_part-{part:06d}-{attempt}"
+        self.name = f"part-{part:06d}-{attempt}"
+        self.to = f"{root}/{self.name}"
         self.fs.create_dir(root, recursive=True)
-        self.out, self.at, self.members, self.sparse = self.fs.open_output_stream(self.tmp + ".tar"), 0, [], []
+        self.out, self.at, self.members, self.sparse = self.fs.open_output_stream(self.to + ".tar"), 0, [], []
 
     def add(self, name: str, media: bytes) -> None:
         if not self.sparse or self.at - self.sparse[-1][1] >= _STEP:
@@ -129,16 +138,12 @@ class _Writer:
     def close(self) -> None:
         self.out.write(bytes(1024))
         self.out.close()
-        with self.fs.open_output_stream(self.tmp + ".idx") as idx:
+        with self.fs.open_output_stream(self.to + ".idx") as idx:
             idx.write(np.array(self.members + self.sparse + [(len(self.members), len(self.sparse))], "<i8").tobytes())
-        for end in (".idx", ".tar"):
-            if self.fs.get_file_info(self.to + end).type != pafs.FileType.NotFound:
-                self.fs.delete_file(self.to + end)
-            self.fs.move(self.tmp + end, self.to + end)
 
 
 def write_archives(docs: DataFrame, folder: str) -> DataFrame:
-    """Store every text of doc_id, text below ``folder``; returns members and bytes of each archive."""
+    """Store every text of doc_id, text below ``folder``; returns the manifest: name, members and bytes of each archive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, writer = TaskContext.get(), None
@@ -152,16 +157,20 @@ def write_archives(docs: DataFrame, folder: str) -> DataFrame:
                     writer.add(f"{len(writer.members):09d}/{'null' if doc is None else doc}.png", encode_png(pad(text), len(text)))
         if writer:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"archive": [writer.to + ".tar"], "members": [len(writer.members)], "bytes": [writer.at]})
+            yield pa.RecordBatch.from_pydict({"archive": [writer.name], "members": [len(writer.members)], "bytes": [writer.at]})
+
+    docs.select("doc_id", "text").mapInArrow(tk.tidy(run), _MANIFEST).write.parquet(f"{folder.rstrip('/')}/manifest")
+    return docs.sparkSession.read.schema(_MANIFEST).parquet(f"{folder.rstrip('/')}/manifest")
 
-    return saved(docs.select("doc_id", "text").mapInArrow(tk.tidy(run), "archive string, members long, bytes long"), "media-manifest")
+
+_MANIFEST = "archive string, members long, bytes long"
 
 
 @dataclass
 class ByteRange(InputPartition):
+    """Members of one archive that start in start..end."""
+
     path: str
-    first: int
-    last: int
     start: int
     end: int
 
@@ -175,22 +184,15 @@ class _Reader(DataSourceReader):
         self.batch_bytes = int(options.get("batchbytes", 4 << 20))
 
     def partitions(self) -> list[ByteRange]:
+        """Byte ranges of the archives in the manifest, or of all archives where there is none."""
         fs, root = _open(self.folder)
-        out = []
-        for info in sorted(fs.get_file_info(pafs.FileSelector(root, recursive=False, allow_not_found=True)), key=lambda i: i.path):
-            if not info.base_name.startswith("part-") or not info.base_name.endswith(".tar"):
-                continue
-            with fs.open_input_file(info.path[:-4] + ".idx") as idx:
-                size = idx.size()
-                members, n = np.frombuffer(idx.read_at(16, size - 16), "<i8")
-                sparse = np.frombuffer(idx.read_at(16 * int(n), size - 16 - 16 * int(n)), "<i8").reshape(-1, 2)
-            cuts = [0]
-            for k in range(1, n):
-                if sparse[k][1] - sparse[cuts[-1]][1] >= self.range_bytes:
-                    cuts.append(k)
-            ends = [(int(a), int(b)) for a, b in sparse[cuts[1:]]] + [(int(members), info.size)]
-            out += [ByteRange(info.path, int(sparse[c][0]), e[0], int(sparse[c][1]), e[1]) for c, e in zip(cuts, ends, strict=True)]
-        return out or [ByteRange("", 0, 0, 0, 0)]
+        manifest = f"{root}/manifest"
+        if fs.get_file_info(manifest).type == pafs.FileType.Directory:
+            found = pads.dataset(manifest, filesystem=fs, format="parquet", schema=pa.schema([("archive", pa.string()), ("bytes", pa.int64())])).to_table()
+            sizes = [(f"{root}/{n}.tar", b) for n, b in zip(found.column("archive").to_pylist(), found.column("bytes").to_pylist(), strict=True)]
+        else:
+            sizes = [(i.path, i.size) for i in fs.get_file_info(pafs.FileSelector(root, recursive=False, allow_not_found=True)) if i.base_name.endswith(".tar")]
+        return [ByteRange(path, at, min(at + self.range_bytes, size)) for path, size in sorted(sizes) for at in range(0, size, self.range_bytes)] or [ByteRange("", 0, 0)]
 
     def _member(self, open_file, file, offset: int, size: int) -> tuple[str, bytes, int, str | None, object]:
         """One member by its offset; on failure the archive is opened again and only this member is read."""
@@ -216,7 +218,14 @@ class _Reader(DataSourceReader):
             return
         fs, _ = _open(self.folder)
         with fs.open_input_file(part.path[:-4] + ".idx") as idx:
-            index = np.frombuffer(idx.read_at(16 * (part.last - part.first), 16 * part.first), "<i8").reshape(-1, 2)
+            size = idx.size()
+            members, n = np.frombuffer(idx.read_at(16, size - 16), "<i8").tolist()
+            sparse = np.frombuffer(idx.read_at(16 * n, size - 16 - 16 * n), "<i8").reshape(-1, 2)
+            first = sparse[max(0, np.searchsorted(sparse[:, 1], part.start, "right") - 1), 0] if n else 0
+            past = np.searchsorted(sparse[:, 1], part.end)
+            last = sparse[past, 0] if past < n else members
+            index = np.frombuffer(idx.read_at(16 * int(last - first), 16 * int(first)), "<i8").reshape(-1, 2)
+            index = index[(index[:, 0] >= part.start) & (index[:, 0] < part.end)]
         open_file = lambda: fs.open_input_file(part.path)
         file, rows, held = open_file(), [], 0
         for offset, size in index.tolist():
