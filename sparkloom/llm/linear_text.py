@@ -67,11 +67,18 @@ class Grams:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str | F.Column, train: F.Column, sample_rows: int) -> DataFrame:
-    """text and integer label of at most ``sample_rows`` documents; the label of a doc_id is its largest one."""
+    """text and integer label of at most ``sample_rows`` rows; the label of a doc_id is its largest one.
+
+    The limit after the join holds only where many rows share a labelled doc_id; it takes those of least hash.
+    """
     value = (F.col(label) if isinstance(label, str) else label).cast("int")
-    chosen = labels.where(train & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), value.alias("label")).where("label is not null")
-    chosen = chosen.groupBy("__id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "label").repartition(8)
+    chosen = labels.where(train & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), value.alias("label")).where("label is not null")
+    chosen = chosen.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label")
+    again = rows.groupBy("doc_id").count().where("count > 1").limit(1)
+    if not again.isEmpty():
+        rows = rows.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample_rows)
+    return rows.select("text", "label").repartition(8)
 
 
 def bucket_counts(sample: DataFrame, grams: Grams, classes: int) -> tuple[np.ndarray, np.ndarray]:

@@ -13,8 +13,11 @@ The cut is found from sums per (source, hash prefix), so no task orders a whole
 source, and only one row per source is joined back to the documents.
 
 Defined cases: null text has no words; a source without words has target 0;
-repeated rows count each by itself and those at a cut share it evenly; a null
-doc_id hashes as 'null'; an empty table gives an empty result.
+repeated rows count each by itself and those at a cut (also those of one doc_id,
+whose hashes tie) share it evenly; a null doc_id hashes as 'null'; a long text is
+counted whole and may be cut; an empty table gives an empty result; further
+columns, whatever their names, are not read by ``mix`` and are kept by
+``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textkit as tk
-from sparkloom.llm.shared import saved
+from sparkloom.llm.shared import free_name, saved
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,21 +101,24 @@ def mixed_documents(docs: DataFrame, epochs: int = 3, seed: int = 7) -> DataFram
     """The mix itself, with the columns of ``docs``: whole copies, and at each cut a text of its first words."""
     sizes = document_sizes(docs, seed)
     plan = mixing_plan(sizes, epochs)
-    plan = plan.select(*(F.col(c).alias(f"__{c}") for c in ("source", "whole", "cut", "part")))
-    h = _order_key(seed)
-    out = docs.join(plan, docs["source"].eqNullSafe(plan["__source"]), "left").withColumn("__times", F.col("__whole") + F.when(h < F.col("__cut"), 1).otherwise(0)).withColumn("__words", F.when(h == F.col("__cut"), F.col("__part")).otherwise(0)).select(*docs.columns, "__times", "__words")
+    name = {c: free_name(docs.columns, f"mix_{c}") for c in ("source", "whole", "cut", "part", "times", "words")}
+    plan = plan.select(*(F.col(c).alias(name[c]) for c in ("source", "whole", "cut", "part")))
+    h, cut = _order_key(seed), F.col(name["cut"])
+    times = F.col(name["whole"]) + F.when(h < cut, 1).otherwise(0)
+    words = F.when(h == cut, F.col(name["part"])).otherwise(0)
+    out = docs.join(plan, docs["source"].eqNullSafe(plan[name["source"]]), "left").select(*(docs[c] for c in docs.columns), times.alias(name["times"]), words.alias(name["words"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = docs_columns.index("text")
         for batch in batches:
-            times = batch.column("__times").to_numpy(zero_copy_only=False).astype(np.int64)
+            times = batch.column(name["times"]).to_numpy(zero_copy_only=False).astype(np.int64)
             plain = batch.select(docs_columns)
             yield plain.take(pa.array(np.repeat(np.arange(times.size), times)))
-            for row in np.flatnonzero(batch.column("__words").to_numpy(zero_copy_only=False)):
+            for row in np.flatnonzero(batch.column(name["words"]).to_numpy(zero_copy_only=False)):
                 one = plain.slice(row, 1)
                 data, offs = tk.flat(one.column("text"))
                 starts, ends, _ = tk.words(data, offs, tk.SPACE_WORDS)
-                n = min(ends.size, batch.column("__words")[int(row)].as_py())
+                n = min(ends.size, batch.column(name["words"])[int(row)].as_py())
                 if n:
                     arrays = list(one.columns)
                     text = data[: ends[n - 1]].tobytes().decode()

@@ -9,9 +9,12 @@ toxic and 2 for good texts, so the tail from 1 is the probability of quality.
 ``sample_rows`` bounds the labelled rows that are learned from.
 
 Defined cases: null and empty texts hold no n-gram and get the thresholds'
-grade; repeated rows score equally; without labels all grades are equally
-likely; a null doc_id or grade is never a label; empty tables give empty
-results.
+grade; repeated rows score equally; of several labels of one doc_id the largest
+grade counts; n-grams that tell grades apart equally well are taken by bucket
+number; a long text is read whole, in blocks; without labels all grades are
+equally likely; a null doc_id or grade (unknown quality, whatever ``toxic`` says)
+is never a label; empty tables give empty results; columns other than doc_id and
+text of the documents are not read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ GRAMS = lt.Grams((1, 2, 3), lower=False)
 
 
 def graded(quality: str = "quality", toxic: str = "toxic") -> F.Column:
-    """0, 1 or 2 from the two labels."""
-    return F.when(F.col(quality) == 0, 0).when(F.col(toxic) == 1, 1).when(F.col(quality) == 1, 2)
+    """0, 1 or 2 from the two labels; null where quality is unknown."""
+    return F.when(F.col(quality) == 0, 0).when((F.col(quality) == 1) & (F.col(toxic) == 1), 1).when(F.col(quality) == 1, 2)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:

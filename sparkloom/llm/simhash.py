@@ -14,10 +14,15 @@ by keys on five further groups of bits (one of which agrees for any true pair)
 instead of being compared as a whole, and tasks return spanning stars, never
 all pairs of a bucket.
 
+What is still larger after four such splits is compared in blocks (``in_blocks``).
+
 Defined cases: null and empty texts have fingerprint zero and link with each
-other; texts below the shingle size are one shingle; repeated rows share a
-component; a null doc_id never names a component unless all its members are
-null; an empty table gives an empty result.
+other; texts below the shingle size are one shingle; a bit that exactly half of
+the hashes have stays 0; repeated rows share a component; a null doc_id never
+names a component unless all its members are null; a long text is hashed whole,
+within some tens of bytes for each byte of it; an empty table gives an empty
+result; further columns, whatever their names, are not read, and kept by
+``deduplicated``.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import textkit as tk
 from sparkloom.llm.components import components, stars
-from sparkloom.llm.shared import saved
+from sparkloom.llm.shared import free_name, saved
 
 BITS = 64
 _SPREAD = np.array([int.from_bytes(bytes((v >> k) & 1 for k in range(8)), "little") for v in range(256)], dtype=np.uint64)
@@ -248,7 +253,24 @@ def _links(radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = 4, bucket_rows: int = 4096, levels: int = 4) -> DataFrame:
+def in_blocks(rows: DataFrame, buckets: DataFrame, key: str, bucket_rows: int) -> DataFrame:
+    """Rows of buckets with over ``bucket_rows`` entries under a bucket for each pair of blocks of them.
+
+    All pairs still meet, but no task holds more than two blocks; a bucket of n
+    rows becomes n / bucket_rows copies of each, for which reason this is the last
+    resort.  ``buckets`` has the column bucket of all rows.
+    """
+    hot = saved(buckets.groupBy("bucket").count().where(F.col("count") > bucket_rows).withColumnRenamed("bucket", "hot"), "simhash-blocks")
+    if hot.isEmpty():
+        return rows
+    blocks = F.ceil(F.col("count") / bucket_rows)
+    own, other = F.pmod(F.xxhash64(key), blocks), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(blocks, F.lit(1)) - 1)).alias("other")
+    met = rows.join(hot, rows["bucket"] == hot["hot"], "left").select(*rows.columns, "count", own.alias("own"), other)
+    bucket = F.when(F.col("count").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
+    return met.select(bucket.alias("bucket"), *(c for c in rows.columns if c != "bucket"))
+
+
+def links(distinct: DataFrame, radius: int = 4, bucket_rows: int = 4096, levels: int = 4, block_rows: int = 65536) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of fingerprints within the radius."""
     plan = plan_search(*bit_statistics(distinct), radius)
     rows = distinct.select("fp").mapInArrow(tk.tidy(_keys(plan)), "bucket long, fp long, probe boolean")
@@ -259,6 +281,9 @@ def links(distinct: DataFrame, radius: int = 4, bucket_rows: int = 4096, levels:
             rows = saved(rows, "simhash-keys")
             hot = saved(rows.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket"), "simhash-hot")
             last = hot.isEmpty()
+        else:
+            rows = saved(rows, "simhash-keys")
+            rows = in_blocks(rows, rows.select("bucket"), "fp", block_rows)
         small = rows if last else rows.join(hot, "bucket", "left_anti")
         new = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tk.tidy(_links(radius)), "a long, b long")
         found = new if found is None else found.union(new)
@@ -298,8 +323,13 @@ def distinct_shingles(hashes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray
     return hashes[new], np.append(0, np.cumsum(np.bincount(rows[new], minlength=heads.size - 1)))
 
 
+def text_key(text: F.Column) -> F.Column:
+    """MD5 of a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def wide_fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """doc_id, a fingerprint of ``words`` times 64 bits, each from another mix of the distinct shingles' hashes, and these themselves where they are ``SHORT`` at most."""
+    """doc_id, the text's MD5, a fingerprint of ``words`` times 64 bits, each from another mix of the distinct shingles' hashes, and these themselves where they are ``SHORT`` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,9 +337,9 @@ def wide_fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
                 hashes, heads = distinct_shingles(*shingle_hashes(part.column("text"), shingle))
                 few = [hashes[a:b].tobytes() if b - a <= SHORT else None for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True)]
                 fp = np.stack([majority(hashes if k == 0 else tk.mix(hashes + np.uint64(k)), heads) for k in range(words)], axis=1)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(few, pa.binary())], ["doc_id", "fp", "few"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(few, pa.binary())], ["doc_id", "key", "fp", "few"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tk.tidy(run), "doc_id long, fp binary, few binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs["text"]).alias("key"), "text").mapInArrow(tk.tidy(run), "doc_id long, key binary, fp binary, few binary")
 
 
 def _rows_of(column: pa.Array, words: int) -> np.ndarray:
@@ -362,7 +392,9 @@ def plan_recall(n: int, both: np.ndarray, differs: float, recall: float, most: i
     return min(plans, key=lambda x: x[:2])[2]
 
 
-def _wide_keys(plan: list[tuple[int, list[int], int]], words: int):
+def _wide_keys(plan: list[tuple[int, list[int], int]], words: int, alone: bool = False):
+    """Rows (bucket, id, fp) under all keys of each fingerprint, or their buckets alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
@@ -372,7 +404,7 @@ def _wide_keys(plan: list[tuple[int, list[int], int]], words: int):
                     own = fp[:, w] & np.uint64(sum(1 << b for b in bits))
                     for mask in _balls(bits, t).tolist():
                         bucket = tk.mix((own ^ np.uint64(mask)) + np.uint64(int(tk._M3) * (i + 1) % (1 << 64))).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket), part.column("id"), part.column("fp")], ["bucket", "id", "fp"])
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket)] if alone else [pa.array(bucket), part.column("id"), part.column("fp")], ["bucket"] if alone else ["bucket", "id", "fp"])
 
     return run
 
@@ -502,49 +534,69 @@ def _short_links(similarity: float):
     return run
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, recall: float = 0.97) -> DataFrame:
-    """(doc_id, component_id) of all documents with a doc_id, linked where the Jaccard similarity of shingles is estimated at ``similarity`` or more.
+def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, recall: float = 0.97, block_rows: int = 65536) -> DataFrame:
+    """(doc_id, key, low) of every row: its text's MD5 and the row of its group that stays, a struct (no_id, doc_id, key).
 
-    A Jaccard similarity J of equal-sized sets is a cosine of 2J / (1 + J), and a
-    fingerprint bit differs with the angle's share of a half turn.  A radius
-    that guarantees such pairs by the pigeonhole would probe nearly all pairs,
-    so the thresholds are allocated for a recall at the border; it is higher
-    for closer pairs.  Verification is over all bits, two standard deviations
-    past the expected distance.  Pairs of texts with at most ``SHORT`` distinct
-    shingles are compared by these, exactly and all of them; shorter texts than
-    such a similarity to a longer one allows stay out of the fingerprint search.
+    Documents link where the Jaccard similarity of their shingles is estimated
+    at ``similarity`` or more.  A Jaccard similarity J of equal-sized sets is a
+    cosine of 2J / (1 + J), and a fingerprint bit differs with the angle's share
+    of a half turn.  A radius that guarantees such pairs by the pigeonhole would
+    probe nearly all pairs, so the thresholds are allocated for a recall at the
+    border; it is higher for closer pairs.  Verification is over all bits, two
+    standard deviations past the expected distance.  Pairs of texts with at most
+    ``SHORT`` distinct shingles are compared by these, exactly and all of them;
+    shorter texts than such a similarity to a longer one allows stay out of the
+    fingerprint search.  Buckets of over ``block_rows`` are compared in blocks.
     """
     differs = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     size = words * BITS
     radius = int(size * differs + 2 * (size * differs * (1 - differs)) ** 0.5)
-    fps = saved(wide_fingerprints(docs, shingle, words).where("doc_id is not null"), "simhash-wide")
-    nodes = saved(fps.groupBy("fp", "few").agg(F.min("doc_id").alias("id")), "simhash-wide-distinct")
-    distinct = nodes.where((F.col("few").isNull()) | (F.length("few") >= 8 * int(np.ceil(similarity * (SHORT + 1) - 1e-9))))
+    fps = saved(wide_fingerprints(docs, shingle, words).withColumn("id", F.xxhash64("fp", "few")), "simhash-wide")
+    nodes = saved(fps.select("id", "fp", "few").dropDuplicates(["id"]), "simhash-wide-distinct")
+    distinct = nodes.where((F.col("few").isNull()) | (F.length("few") >= 8 * int(np.ceil(similarity * (SHORT + 1) - 1e-9)))).select("id", "fp")
     both = np.zeros((words, BITS, BITS))
     for ij, n in distinct.select("fp").mapInArrow(tk.tidy(_wide_bit_counts(words)), "ij long, n long").groupBy("ij").sum("n").collect():
         w, i, j = ij // BITS // BITS, ij // BITS % BITS, ij % BITS
         both[w, i, j] = both[w, j, i] = n
     plan = plan_recall(distinct.count(), both, differs, recall)
-    keys = distinct.select("id", "fp").mapInArrow(tk.tidy(_wide_keys(plan, words)), "bucket long, id long, fp binary")
+    keys = distinct.mapInArrow(tk.tidy(_wide_keys(plan, words)), "bucket long, id long, fp binary")
+    keys = in_blocks(keys, distinct.mapInArrow(tk.tidy(_wide_keys(plan, words, alone=True)), "bucket long"), "id", block_rows)
     found = keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tk.tidy(_wide_links(words, radius)), "a long, b long")
     sets = nodes.where("few is not null").select("id", "few").mapInArrow(tk.tidy(_short_keys(similarity)), "bucket long, id long, few binary")
+    sets = in_blocks(sets, sets.select("bucket"), "id", block_rows)
     found = found.union(sets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tk.tidy(_short_links(similarity)), "a long, b long"))
     roots = components(saved(found.distinct(), "simhash-wide-links"))
-    classes = nodes.join(roots, nodes["id"] == roots["node"], "left").select(F.col("fp").alias("f"), F.col("few").alias("s"), F.coalesce("root", "id").alias("component_id"))
-    return fps.join(classes, (fps["fp"] == classes["f"]) & fps["few"].eqNullSafe(classes["s"])).select("doc_id", "component_id")
+    rows = fps.select("doc_id", "key", "id").join(roots, F.col("id") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "id").alias("root"))
+    rows = saved(rows, "simhash-roots")
+    low = saved(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("low")), "simhash-lows")
+    return rows.join(low, "root").select("doc_id", "key", "low")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, **params) -> DataFrame:
+    """(doc_id, component_id) of all rows: the smallest doc_id of those that ``similar_texts`` links."""
+    return similar_texts(docs, shingle, similarity, **params).select("doc_id", F.col("low.doc_id").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The document of smallest doc_id of each component of similar documents, with all its columns.
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, **params) -> DataFrame:
+    """One document of each component of similar documents, with all its columns: that of smallest doc_id.
 
-    doc_id is the key: of rows that share one, one stays.  Rows without a doc_id
-    can't be told apart and all stay.
+    A null doc_id comes after all others; of rows that share a doc_id the one
+    whose text has the least MD5 comes first, and of rows that share both (null
+    and empty texts are alike) any one stays.
     """
-    classes = saved(similar_documents(docs.select("doc_id", "text"), shingle, similarity), "simhash-rows")
-    gone = saved(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "simhash-gone")
-    out = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    again = saved(classes.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "simhash-again")
+    rows = saved(similar_texts(docs.select("doc_id", "text"), shingle, similarity, **params), "simhash-rows")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key").eqNullSafe(F.col("low"))
+    doc, key = (free_name(docs.columns, c) for c in ("simhash_doc", "simhash_key"))
+    named = lambda df: df.select(F.col("doc_id").alias(doc), F.col("key").alias(key))
+    gone = saved(named(rows.where(~first)).distinct(), "simhash-gone")
+    again = saved(named(rows.where(first).groupBy("doc_id", "key").count().where("count > 1")), "simhash-again")
+    own = docs["doc_id"].cast("long")
+
+    def same(other: DataFrame) -> F.Column:
+        return own.eqNullSafe(other[doc]) & (text_key(docs["text"]) == other[key])
+
+    out = docs.join(gone, same(gone), "left_anti")
     if again.isEmpty():
         return out
-    same = out["doc_id"] == again["__again"]
-    return out.join(again, same, "left_anti").union(out.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    twice = out.join(again, same(again), "left_semi").withColumn(key, text_key(F.col("text"))).dropDuplicates(["doc_id", key]).drop(key)
+    return out.join(again, same(again), "left_anti").union(twice)

@@ -9,8 +9,12 @@ that tell the classes apart best gives the score.
 
 Defined cases: null and empty texts hold no n-gram and score the bias alone;
 repeated rows score equally; without labels, or with labels of one class, every
-score is the smoothed share of toxic labels; a null doc_id is never a label;
-empty tables give empty results.
+score is the smoothed share of toxic labels; a null doc_id is never a label; of
+several labels of one doc_id the largest counts; n-grams that tell the classes
+apart equally well are taken by bucket number; a long text is read whole, in
+blocks; empty tables give empty results; other columns of the documents are not
+read by ``score_documents`` and kept, whatever their names, by
+``clean_documents``.
 """
 
 from __future__ import annotations
