@@ -7,6 +7,8 @@ from math import log10
 
 import xxhash
 
+from sparkloom.llm.licenses import TEMPLATES
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -92,6 +94,33 @@ def licenses(text):
     return len(words), len(found), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in found}))
 
 
+def labels(text, share=0.7, shift=4):
+    """Labels and score by comparing words: matches of three words, by diagonal, and the longest rising chain of each span."""
+    words = ALNUM.findall(lower(text))
+    places = {}
+    for i in range(len(words) - 2):
+        places.setdefault(tuple(words[i : i + 3]), []).append(i)
+    found, best = set(licenses(text)[4].split(",")) - {""}, 1.0 if licenses(text)[1] else 0.0
+    for label, template in TEMPLATES:
+        own = ALNUM.findall(lower(template))
+        hits = [(i - j, i, j) for j in range(len(own) - 2) for i in places.get(tuple(own[j : j + 3]), ())]
+        spans, last = [], None
+        for d, i, j in sorted(hits):
+            if last is None or d - last > shift:
+                spans.append([])
+            spans[-1].append((i, j))
+            last = d
+        for span in spans:
+            chain = {}
+            for i, j in sorted(span):
+                chain[i, j] = 1 + max((n for (a, b), n in chain.items() if a < i and b < j), default=0)
+            n, whole = max(chain.values()), len(own) - 2
+            best = max(best, n / whole)
+            if n >= (whole if whole < 10 else share * whole):
+                found.add(label)
+    return ",".join(sorted(found)), best
+
+
 def quality(text):
     text = text or ""
     words, lines, seen = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)], Counter()

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import lm, media, quality_classifier, simhash, substring_dedup, toxicity
+from sparkloom.llm import licenses, lm, media, mixing, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
 from sparkloom.llm.components import components, stars
 from tests.llm import brute
 
@@ -76,30 +76,95 @@ def test_lm_filter_keeps_all():
         lm.segment(h, np.ones(1000, np.int64), h, np.full(1000, 2), 8000, 10.0)
 
 
-def test_lm_scores(spark):
-    """Scores by exact counts, with more events than fit 32 MB at this many bits an event."""
+@pytest.fixture(scope="module")
+def lm_case(spark):
+    """Texts, which are held out, and a plain P(w | h) from exact counts, each replaced by its level's."""
     rng = np.random.default_rng(8)
-    texts = [" ".join(f"w{k}" for k in rng.integers(0, 2000, 100)) for _ in range(100)] * 2 + [f"w{k} w{k + 1} unseen{k}" for k in range(20)]
-    held = [k >= 200 or k % 10 == 3 for k in range(220)]
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 300, 100)) for _ in range(60)] * 2 + [f"w{k} w{k + 1} unseen{k}" for k in range(20)]
+    held = [k >= 120 or k % 10 == 3 for k in range(140)]
     tokens = [["", *t.split(), ""] for t in texts]  # an end token is before the first word and after the last
     train = [ws for ws, out in zip(tokens, held, strict=True) if not out]
-    one = Counter(w for ws in train for w in ws[1:])
-    two = Counter(p for ws in train for p in zip(ws[:-1], ws[1:], strict=True))
     stands = lambda n: float(lm.level_counts()[lm.levels(np.array([n]))][0])
-    n, weight = sum(one.values()), sum(c for c in two.values() if c > 1) / sum(one.values())
-    p = lambda h, w: weight * (min(stands(two[h, w]) / max(stands(one[h]), 1), 1) if two[h, w] > 1 else 0) + (1 - weight) * (stands(one[w]) + 0.1) / (n + 0.1 * (len(one) + 1))
-    weight = min(0.9, max(0.01, weight))
-    want = [sum(np.log10(p(h, w)) for h, w in zip(ws[:-1], ws[1:], strict=True)) for ws in tokens]
+    one = {w: stands(n) for w, n in Counter(w for ws in train for w in ws[1:]).items()}
+    two = {x: stands(n) for x, n in Counter(x for ws in train for x in zip(ws[:-1], ws[1:], strict=True)).items()}
+    mass, kinds, total = Counter(), Counter(), sum(one.values()) + 0.1 * (len(one) + 1)
+    for (h, _), c in two.items():
+        mass[h] += c
+        kinds[h] += 1
+
+    def p(h, w):
+        word = (one.get(w, 0) + 0.1) / total
+        return (two.get((h, w), 0) + kinds[h] * word) / (mass[h] + kinds[h]) if kinds[h] else word
+
     docs = spark.createDataFrame([(k, t, out) for k, (t, out) in enumerate(zip(texts, held, strict=True))], "doc_id long, text string, out boolean")
-    got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, F.col("out"), bits=10000.0).collect()}
-    assert [got[k] for k in range(220)] == pytest.approx(want, abs=1e-6)
+    return docs, tokens, p, sorted(one)
+
+
+def test_lm_scores(lm_case):
+    docs, tokens, p, _ = lm_case
+    want = [sum(np.log10(p(h, w)) for h, w in zip(ws[:-1], ws[1:], strict=True)) for ws in tokens]
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, F.col("out"), bits=10000.0, shard_bytes=10_000).collect()}
+    assert [got[k] for k in range(len(tokens))] == pytest.approx(want, abs=1e-6)
+
+
+def test_lm_sums_to_one(spark, lm_case):
+    """Probabilities after a history, over all words and an unknown one, within the filter's error rate."""
+    docs, _, p, words = lm_case
+    assert sum(p("w5", w) for w in [*words, "?"]) == pytest.approx(1)
+    asked = [f"w5 {w}" for w in [*words, "?"] if w] + ["w5"]
+    both = docs.union(spark.createDataFrame([(1000 + k, t, True) for k, t in enumerate(asked)], docs.schema))
+    end = [*(f"w5 {w}" for w in words if w), "w5 ?"]
+    out = {r["doc_id"]: r["score"] for r in lm.score_documents(both, F.col("out")).collect()}
+    start = np.log10(p("", "w5"))
+    of = [10 ** (out[1000 + k] - start - np.log10(p(t.split()[1], ""))) for k, t in enumerate(end)] + [10 ** (out[1000 + len(asked) - 1] - start)]
+    assert sum(of) == pytest.approx(1, abs=len(words) * 2.0**-lm.PROBES)
+
+
+@pytest.mark.parametrize("bits", [16.0, 24.0, 64.0])
+def test_lm_beats_base_at_each_size(tables, bits):
+    docs = tables[0].limit(1500)
+    rows = lm.score_documents(docs, bits=bits).where("held_out").select("score", "base_score").collect()
+    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
 
+def test_lm_counts_do_not_wrap():
+    keys, counts = np.arange(3, dtype=np.uint64), np.array([1, 5_000_000_000, 7])
+    assert [x.tolist() for x in lm._unsqueeze(lm._squeeze(keys, counts))] == [[0, 1, 2], [1, 5_000_000_000, 7]]
 
-@pytest.mark.parametrize("query", [media.media_round_trip, lm.score_documents, simhash.near_duplicates, substring_dedup.removal_report, substring_dedup.without_repeats, simhash.deduplicated])
+
+@pytest.mark.parametrize("query", [media.media_round_trip, lm.score_documents, simhash.near_duplicates, substring_dedup.removal_report, substring_dedup.without_repeats, simhash.deduplicated, mixing.mix, mixing.mixed_documents, licenses.scan, quality_rules.quality_metrics, quality_rules.keep_documents])
 def test_empty_tables(none, query):
     assert query(none).count() == 0
 
 
+def test_stages_on_odd_rows(odd, spark):
+    """Each stage that returns documents on nulls, repeats and clashing columns."""
+    labels = spark.createDataFrame([(k, k % 2, int(k % 9 == 0)) for k in range(3, 90)], "doc_id long, quality int, toxic int")
+    clash = odd.withColumnsRenamed({"task": "__times", "fp": "mix_source", "h": "Mix_Cut", "size": "__gone", "bid": "simhash_doc"})
+    for stage in (lambda x: toxicity.clean_documents(x, labels), simhash.deduplicated, substring_dedup.without_repeats, mixing.mixed_documents, quality_rules.keep_documents):
+        out = stage(clash)
+        assert out.columns == clash.columns and out.count() > 0
+        assert stage(clash.limit(0)).count() == 0
+
+
+def test_long_text(spark):
+    """A text of 3 MB, longer than any slice, beside short ones."""
+    rng = np.random.default_rng(14)
+    long = " ".join(f"w{k}" for k in rng.integers(0, 1 << 40, 250_000)) + " under the mit license"
+    assert len(long) > 3_000_000
+    rows = [(0, long), (1, "a b c"), (2, long[1_000_000:1_000_400])]
+    docs = spark.createDataFrame([(*r, None, None, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    by = lambda df: {r["doc_id"]: r for r in df.collect()}
+    assert {d: r["n_tokens"] for d, r in by(lm.score_documents(docs)).items()} == {d: len(t.split()) + 1 for d, t in rows}
+    assert by(licenses.scan(docs))[0]["first_word"] == 250_000
+    assert by(quality_rules.quality_metrics(docs))[0]["word_chars"] == len(long.replace(" ", ""))
+    assert {d: int(r["fingerprint"], 16) for d, r in by(simhash.near_duplicates(docs)).items()} == {d: brute.fingerprint(t) for d, t in rows}
+    assert {d: r["n_removed"] for d, r in by(substring_dedup.removal_report(docs)).items()} == {0: 400, 1: 0, 2: 400}
+    assert {d: r["size"] for d, r in by(mixing.mix(docs)).items()} == {d: len(t.split()) for d, t in rows}
+    assert by(media.media_round_trip(docs))[0]["n_bytes"] == len(long)
+    assert len(simhash.deduplicated(docs).collect()) == 3
+
+
 def test_archives(spark, odd, tmp_path):
     folder = str(tmp_path / "archives")
     media.write_archives(odd, folder)
@@ -139,6 +204,48 @@ def test_components(spark):
     assert dict(zip(a.tolist(), b.tolist(), strict=True)) == want
 
 
+def test_in_blocks(spark):
+    """All pairs of a large bucket meet in some bucket of two blocks; small buckets stay."""
+    rows = spark.createDataFrame([(7, k) for k in range(50)] + [(8, k) for k in range(5)], "bucket long, id long")
+    out = simhash.in_blocks(rows, rows.select("bucket"), "id", 12).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r["bucket"], set()).add(r["id"])
+    assert by.pop(8) == set(range(5))
+    met = {(a, b) for ids in by.values() for a in ids for b in ids}
+    assert len(met) == 2500 and max(map(len, by.values())) < 50
+
+
+def test_large_groups(spark):
+    """Thousands of near copies in buckets that are split and compared in blocks."""
+    rng = np.random.default_rng(12)
+    base = [f"w{k}" for k in rng.integers(0, 5000, 300)]
+    rows = []
+    for k in range(3000):
+        text = list(base)
+        text[int(rng.integers(300))] = f"v{k}"
+        rows.append((k, " ".join(text)))
+    rows += [(5000 + k, " ".join(f"u{x}" for x in rng.integers(0, 5000, 300))) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for out in (simhash.similar_documents(docs, block_rows=700), simhash.similar_documents(docs)):
+        found = {r["doc_id"]: r["component_id"] for r in out.collect()}
+        assert all(found[k] == 0 for k in range(3000)) and all(found[5000 + k] == 5000 + k for k in range(50))
+    kept = simhash.deduplicated(docs, block_rows=700)
+    assert kept.count() == 51 and kept.columns == docs.columns
+
+
+def test_deduplicated_cases(spark):
+    """Rows that share a doc_id, rows without one, clashing names and other case."""
+    rng = np.random.default_rng(13)
+    prose = lambda: " ".join(f"w{k}" for k in rng.integers(0, 5000, 60))
+    a, b, c, d, e = (prose() for _ in range(5))
+    rows = [(1, a), (1, b), (2, b), (3, a + " more"), (None, c), (None, c), (None, d), (4, d), (5, e), (5, e), (6, None), (7, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, Simhash_Doc int, simhash_key string")
+    out = simhash.deduplicated(docs)
+    assert out.columns == docs.columns
+    assert Counter((r[0], r[1]) for r in out.collect()) == Counter([(1, a), (1, b), (None, c), (4, d), (5, e), (6, None)])
+
+
 def test_similar_documents(spark):
     rng = np.random.default_rng(4)
     words = np.array([f"w{k}" for k in range(3000)])

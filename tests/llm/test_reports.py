@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import licenses, lm, media, mixing, quality_rules, simhash, substring_dedup
@@ -107,10 +108,19 @@ def test_mixed_rows(odd, odd_rows):
 def test_licenses(case):
     docs, rows = case
     out = licenses.scan(docs)
-    assert got(out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")) == Counter((d, *brute.licenses(t)) for d, t in rows)
-    for r in out.collect():
-        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
-        assert r["labels"].split(",") == sorted(set(r["labels"].split(",")))
+    assert got(out) == Counter((d, *brute.licenses(t), brute.labels(t)[0], round(brute.labels(t)[1], 6)) for d, t in rows)
+
+
+def test_license_spans(spark):
+    """Whole texts, edited and shuffled ones; a phrase over and over is no license."""
+    mit = licenses.TEXTS[0][1]
+    words = mit.split()
+    texts = ["free of charge " * 40, "under the mit " * 3, mit, mit.upper() + " tail", " ".join(words[:60] + ["inserted", "words"] + words[60:]), " ".join(words[:100]), " ".join(words[90:] + words[:90])]
+    texts += [t for _, t in licenses.TEXTS[3:]] + [t for _, t in licenses.LINES]
+    out = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(out[k]["labels"], round(out[k]["score"], 9)) for k in range(len(texts))] == [(x, round(y, 9)) for x, y in map(brute.labels, texts)]
+    assert [out[k]["labels"] for k in range(7)] == ["", "", "mit", "mit", "mit", "", ""]
+    assert out[0]["score"] < 0.1 and out[2]["score"] == 1.0 and 0.9 < out[4]["score"] < 1
 
 
 def test_quality_rules(case):
@@ -121,3 +131,40 @@ def test_quality_rules(case):
     kept = quality_rules.keep_documents(docs)
     assert kept.columns == docs.columns and kept.count() == out.where("kept").count()
     assert got(quality_rules.quality_metrics(docs, rules=quality_rules.RULES[::-1])) == got(out)
+
+
+def test_cascade_is_short_circuited():
+    """A rule sees only the rows that earlier ones kept, and measures only those."""
+    seen, measured = Counter(), Counter()
+
+    def rule(name, rejects):
+        def counted(t):
+            seen[name] += len(t.column)
+            return rejects(t)
+
+        return quality_rules.Rule(name, counted)
+
+    column = pa.array(["few words"] * 30 + ["word " * 5 * k + "# " * 40 for k in range(10, 20)] + [" ".join(f"w{k}" for k in range(50))] * 5)
+    order = (rule("few", lambda t: t.n_words < 20), rule("symbols", lambda t: 10 * t.n_symbols > t.n_words), rule("upper", lambda t: 10 * t.n_upper > 4 * t.n_letters))
+    count = quality_rules.Texts.count
+
+    def counting(self, table):
+        measured[id(table)] += len(self.column)
+        return count(self, table)
+
+    quality_rules.Texts.count = counting
+    try:
+        kept = quality_rules.cascade(quality_rules.Texts(column), order)
+        assert seen == {"few": 45, "symbols": 15, "upper": 5} and kept.sum() == 5
+        assert sorted(measured.values()) == [5, 5, 15]
+        seen.clear()
+        assert not quality_rules.cascade(quality_rules.Texts(column), order, np.arange(45) < 30).any()
+        assert seen == {"few": 30}
+    finally:
+        quality_rules.Texts.count = count
+
+
+def test_cascade_sample(small):
+    order = quality_rules.plan_cascade(small, sample_rows=50)
+    assert sorted(r.name for r in order) == sorted(r.name for r in quality_rules.RULES)
+    assert len(quality_rules.plan_cascade(small.limit(0))) == len(quality_rules.RULES)
