@@ -107,3 +107,8 @@ def seq(n) -> Column:
 
 def to_list(*items) -> Column:
     return F.array(*map(col, items))
+
+
+def slice(expr, start, end=None) -> Column:  # noqa: A001
+    """Elements start..end of a list."""
+    return list_slice(expr, start, end)

@@ -76,14 +76,14 @@ def fn_strings(t):
 
 @query(
     "fn_strings_regex",
-    """SELECT doc_id, regexp_matches(text, '[0-9]{2}') AS m, len(regexp_extract_all(text, '[A-Z]'))::int AS caps, nullif(regexp_extract(text, '[a-z]+ing'), '') AS ing, regexp_replace(left(text, 80), '[aeiou]+', '_', 'g') AS rp,
-       len(string_split_regex(left(text, 200), '\\s+'))::int AS words, split_part(text, ' ', 2) AS second, len(regexp_extract_all(text, 'the|tion'))::int AS cm, levenshtein(lang, source)::int AS lev FROM documents""",
+    """SELECT doc_id, regexp_matches(text, '[0-9]{2}') AS m, len(regexp_extract_all(text, '[A-Z]'))::int AS caps, nullif(regexp_extract(text, '[a-z]+ing'), '') AS ing, regexp_replace(text, '[aeiou]+', '_', 'g') AS rp,
+       len(string_split_regex(text, '\\s+'))::int AS words, split_part(text, ' ', 2) AS second, len(regexp_extract_all(text, 'the|tion'))::int AS cm, levenshtein(lang, source)::int AS lev FROM documents""",
 )
 def fn_regex(t):
     x = F.col("text")
     return t("documents").select(
-        "doc_id", X.regexp(x, "[0-9]{2}").alias("m"), X.regexp_count(x, "[A-Z]").alias("caps"), X.regexp_extract(x, "[a-z]+ing").alias("ing"), X.regexp_replace(F.left(x, F.lit(80)), "[aeiou]+", "_").alias("rp"),
-        F.size(X.regexp_split(F.left(x, F.lit(200)), r"\s+")).alias("words"), X.split_part(x, " ", 2).alias("second"), X.count_matches(x, ["the", "tion"]).alias("cm"), X.levenshtein_distance("lang", "source").alias("lev"),
+        "doc_id", X.regexp(x, "[0-9]{2}").alias("m"), X.regexp_count(x, "[A-Z]").alias("caps"), X.regexp_extract(x, "[a-z]+ing").alias("ing"), X.regexp_replace(x, "[aeiou]+", "_").alias("rp"),
+        F.size(X.regexp_split(x, r"\s+")).alias("words"), X.split_part(x, " ", 2).alias("second"), X.count_matches(x, ["the", "tion"]).alias("cm"), X.levenshtein_distance("lang", "source").alias("lev"),
     )
 
 
@@ -176,8 +176,7 @@ def fn_nulls(t):
 
 @query("fn_json", "SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS v, list_sort(json_keys(props)) AS k FROM events")
 def fn_json(t):
-    first = F.element_at(X.json_object_keys("props"), 1)
-    return t("events").select("event_id", F.expr("get_json_object(props, concat('$.', element_at(json_object_keys(props), 1)))").alias("v"), F.array_sort(X.json_object_keys("props")).alias("k")).where(first.isNotNull() | F.lit(True))
+    return t("events").select("event_id", F.expr("get_json_object(props, concat('$.', element_at(json_object_keys(props), 1)))").alias("v"), F.array_sort(X.json_object_keys("props")).alias("k"))
 
 
 @query("fn_maps_structs", "SELECT n_nationkey, n_name AS got, NULL::varchar AS miss, n_regionkey AS field FROM nation")
@@ -186,10 +185,10 @@ def fn_maps(t):
     return t("nation").select("n_nationkey", X.map_get(m, "name").alias("got"), X.map_get(m, "none").alias("miss"), X.get(s, "n_regionkey").alias("field"))
 
 
-@query("fn_binary_round_trip", "SELECT doc_id, text AS a, text AS b, base64(encode(left(text, 30))) AS c, lower(hex(encode(left(source, 4)))) AS h FROM documents")
+@query("fn_binary_round_trip", "SELECT doc_id, text AS a, text AS b, base64(encode(text)) AS c, lower(hex(encode(source))) AS h FROM documents")
 def fn_binary(t):
     x = F.col("text")
-    return t("documents").select("doc_id", X.decode(X.encode(x)).alias("a"), X.decompress(X.compress(x, "gzip"), "gzip").cast("string").alias("b"), X.encode(F.left(x, F.lit(30)), "base64").cast("string").alias("c"), F.lower(X.encode(F.left("source", F.lit(4)), "hex").cast("string")).alias("h"))
+    return t("documents").select("doc_id", X.decode(X.encode(x)).alias("a"), X.decompress(X.compress(x, "gzip"), "gzip").cast("string").alias("b"), F.replace(X.encode(x, "base64").cast("string"), F.lit("\r\n"), F.lit("")).alias("c"), F.lower(X.encode("source", "hex").cast("string")).alias("h"))
 
 
 @query("fn_urls", "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/:?#]+')")
@@ -206,7 +205,7 @@ def fn_hash(t):
 
 @query("fn_minhash_simhash")
 def fn_minhash(t):
-    return t("benchmark").select("item_id", X.minhash("text", 8, 2).alias("mh"), X.simhash("text", 4).alias("sh"))
+    return t("documents").select("doc_id", X.minhash("text", 8, 2).alias("mh"), X.simhash("text", 4).alias("sh"))
 
 
 @query(
@@ -232,9 +231,9 @@ def fn_circle(t):
     return t("customer").select("c_custkey", _r(X.great_circle_distance(F.col("c_nationkey"), F.col("c_custkey") % 180, F.lit(10), F.lit(20)), "m", 2))
 
 
-@query("fn_images", "SELECT c_custkey, 4 AS w, 3 AS h, 'RGB' AS mode, 2 AS w2, 'L' AS gray FROM customer WHERE c_custkey <= 50")
+@query("fn_images", "SELECT c_custkey, 4 AS w, 3 AS h, 'RGB' AS mode, 2 AS w2, 'L' AS gray FROM customer")
 def fn_images(t):
     raw = F.struct(F.lit(3).alias("height"), F.lit(4).alias("width"), F.lit(3).alias("channels"), F.lit("RGB").alias("mode"), F.encode(F.rpad(F.col("c_name"), 36, "x"), "utf-8").alias("data"))
     image = X.decode_image(X.encode_image(raw))
-    rows = t("customer").where("c_custkey <= 50").select("c_custkey", image.alias("i"))
+    rows = t("customer").select("c_custkey", image.alias("i"))
     return rows.select("c_custkey", X.image_width("i").alias("w"), X.image_height("i").alias("h"), X.image_mode("i").alias("mode"), X.image_width(X.resize("i", 2, 2)).alias("w2"), X.image_mode(X.convert_image("i", "L")).alias("gray"))

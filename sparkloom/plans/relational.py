@@ -271,9 +271,9 @@ def sort_nulls(t):
     return rows.select("v", F.row_number().over(Window().order_by("v", "k", desc=[True, False]).spec(True)).alias("at")).orderBy(*ordering("v", True))
 
 
-@query("explode_lists", "SELECT doc_id, place, w FROM (SELECT doc_id, unnest(range(0, greatest(len(ws), 1))) AS place, unnest(CASE WHEN len(ws) = 0 THEN [NULL] ELSE ws END) AS w FROM (SELECT doc_id, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')[1:5] AS ws FROM documents))")
+@query("explode_lists", "SELECT doc_id, place, w FROM (SELECT doc_id, unnest(range(0, greatest(len(ws), 1))) AS place, unnest(CASE WHEN len(ws) = 0 THEN [NULL] ELSE ws END) AS w FROM (SELECT doc_id, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '') AS ws FROM documents))")
 def explode_lists(t):
-    rows = t("documents").select("doc_id", F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != ""), 1, 5).alias("w"))
+    rows = t("documents").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != "").alias("w"))
     out = Frame(rows).explode("w", index_column="place").df
     return out.withColumn("place", F.coalesce("place", F.lit(0).cast("long")))
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from sparkloom.plans import function_queries, registry, relational, tpch  # noqa: F401
+from sparkloom.plans import function_queries, library_queries, registry, relational, tpch  # noqa: F401
 from tests.oracle import connect
 
 SF = "/root/testdata/sf0.001"
