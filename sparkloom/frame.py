@@ -12,7 +12,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from sparkloom.functions import aggregates as agg_functions
 from sparkloom.functions._base import col
@@ -133,17 +132,32 @@ class Frame:
         return Frame(self.df.offset(num))
 
     def sample(self, fraction: float | None = None, size: int | None = None, with_replacement: bool = False, seed: int | None = None) -> Frame:
-        """A fraction of the rows, or exactly ``size`` of them."""
+        """A fraction of the rows, or exactly ``size`` of them; a seed draws the same rows however they are partitioned."""
         if size is None:
             return Frame(self.df.sample(with_replacement, fraction, seed))
-        if with_replacement:
-            n = self.df.count()
-            picks = self.spark.range(size).select(F.floor((F.rand(seed) if seed is not None else F.rand()) * n).alias("__at"))
-            return Frame(_numbered(self.df).join(picks, "__at").drop("__at"))
-        return Frame(self.df.orderBy(F.rand(seed) if seed is not None else F.rand()).limit(size))
+        order = self._order(seed)
+        if not with_replacement:
+            return Frame(self.df.orderBy(*order).limit(size))
+        # every row is drawn Poisson(size / rows) times, a little more often than needed, and the draws are cut to size
+        rows = self.df.count()
+        if not rows:
+            return Frame(self.df.limit(0))
+        rate, draws = 1.0, 0
+        while draws < size:
+            rate *= 1.2
+            drawn = self.df.sample(True, rate * (size + 10) / rows, seed)
+            draws = drawn.limit(size).count()
+        return Frame(drawn.orderBy(*Frame(drawn)._order(seed)).limit(size))
+
+    def _order(self, seed: int | None) -> list[Column]:
+        """A random order; with a seed it rests on the rows' values alone."""
+        if seed is None:
+            return [F.rand()]
+        values = F.to_json(F.struct(*(F.col(f"`{c}`") for c in self.df.columns)))
+        return [F.xxhash64(F.lit(seed), values), values]
 
     def shuffle(self, seed: int | None = None) -> Frame:
-        return Frame(self.df.orderBy(F.rand(seed) if seed is not None else F.rand()))
+        return Frame(self.df.orderBy(*self._order(seed)))
 
     def drop_nan(self, *cols) -> Frame:
         names = _flat(cols) or [n for n, t in self.df.dtypes if t in ("float", "double")]
@@ -240,6 +254,22 @@ class Frame:
     def except_all(self, other: Frame) -> Frame:
         return Frame(self.df.exceptAll(other.df))
 
+    def checkpointed(self, store: sinks.CheckpointStore, key: str) -> Frame:
+        """Rows whose key no finished run of ``store`` has; see there how a run is finished."""
+        return Frame(store.unseen(self.df, key))
+
+    def to_ray_dataset(self):
+        """Needs the ray package."""
+        import ray
+
+        return ray.data.from_arrow(self.to_arrow())
+
+    def to_dask_dataframe(self, npartitions: int = 8):
+        """Needs the dask package."""
+        import dask.dataframe as dd
+
+        return dd.from_pandas(self.to_pandas(), npartitions=npartitions)
+
     def skip_existing(self, existing: Frame | str, key_column, file_format: str = "parquet") -> Frame:
         """Rows whose key an earlier result hasn't; null keys stay."""
         keys = _flat([key_column])
@@ -256,9 +286,25 @@ class Frame:
         return Frame(self.df.coalesce(num) if num <= self.df.rdd.getNumPartitions() else self.df.repartition(num))
 
     def into_batches(self, size: int) -> Frame:
-        """Rows a Python function sees at once, for the session."""
-        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-        return self
+        """Arrow batches of ``size`` rows each, the last of a partition aside, for what reads them next."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            held, rows = [], 0
+            for batch in batches:
+                held.append(batch)
+                rows += batch.num_rows
+                if rows < size:
+                    continue
+                table = pa.Table.from_batches(held).combine_chunks()
+                for at in range(0, rows - size + 1, size):
+                    yield from table.slice(at, size).to_batches()
+                table = table.slice(rows - rows % size)
+                held, rows = table.to_batches(), table.num_rows
+            yield from held
+
+        return Frame(self.df.mapInArrow(run, self.df.schema))
 
     def shard(self, world_size: int, rank: int) -> Frame:
         """The rows of every world_size-th file."""
@@ -289,8 +335,19 @@ class Frame:
     def iter_rows(self) -> Iterator[dict]:
         return (r.asDict(recursive=True) for r in self.df.toLocalIterator(prefetchPartitions=True))
 
-    def to_arrow_iter(self):
-        return iter(self.df.toArrow().to_batches())
+    def to_arrow_iter(self, results_buffer_rows: int = 10_000):
+        """Arrow batches, one partition after the other; the driver holds one at a time."""
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema, rows = to_arrow_schema(self.df.schema), []
+        for r in self.df.toLocalIterator(prefetchPartitions=True):
+            rows.append(r.asDict(recursive=True))
+            if len(rows) == results_buffer_rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     def iter_partitions(self) -> Iterator[list]:
         """The rows of one partition after the other."""
@@ -379,12 +436,6 @@ class _Sets(Grouped):
         return Frame(grouped.agg(*_flat(exprs), *(c.alias(n) for n, c in named.items())))
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Rows numbered from 0 without a gap."""
-    schema = StructType([*df.schema.fields, StructField("__at", LongType())])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema)
-
-
 def _aggregate_method(name: str, f: Callable):
     def on_frame(self, *cols, **kw) -> Frame:
         if name == "count" and not cols:

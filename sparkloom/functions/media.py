@@ -7,6 +7,7 @@ are imported when a task first needs them.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -33,14 +34,18 @@ def file_path(f) -> Column:
     return col(f)["path"]
 
 
-def _open(path: str):
+def open_path(path: str):
+    """pyarrow's file system for a path; s3a:// and s3n:// are s3://."""
     from pyarrow import fs
 
+    path = re.sub("^s3[an]://", "s3://", path)
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def _info(path: str):
-    system, at = _open(path)
+    system, at = open_path(path)
     return system.get_file_info(at)
 
 
@@ -72,7 +77,7 @@ def download(expr, max_connections: int = 32, on_error: str = "raise") -> Column
 
                 with urlopen(path, timeout=60) as got:
                     return got.read()
-            system, at = _open(path)
+            system, at = open_path(path)
             with system.open_input_stream(at) as got:
                 return got.read()
         except Exception:
@@ -105,7 +110,7 @@ def upload(expr, location, on_error: str = "raise") -> Column:
             b = b.encode() if isinstance(b, str) else bytes(b)
             path = f"{folder.rstrip('/')}/{hashlib.sha256(b).hexdigest()}"
             try:
-                system, at = _open(path)
+                system, at = open_path(path)
                 system.create_dir(at.rpartition("/")[0], recursive=True)
                 with system.open_output_stream(at) as to:
                     to.write(b)

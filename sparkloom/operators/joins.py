@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,12 +55,17 @@ def join(left: DataFrame, right: DataFrame, on=None, left_on=None, right_on=None
     return out.select(*cols)
 
 
-def join_asof(left: DataFrame, right: DataFrame, on=None, left_on=None, right_on=None, by=None, left_by=None, right_by=None, strategy: str = "backward", prefix: str | None = None, suffix: str | None = None) -> DataFrame:
+def join_asof(left: DataFrame, right: DataFrame, on=None, left_on=None, right_on=None, by=None, left_by=None, right_by=None, strategy: str = "backward", prefix: str | None = None, suffix: str | None = None, buckets: int | None = None) -> DataFrame:
     """Each left row with the nearest right row of its keys: ``backward`` (latest at or before),
     ``forward`` (earliest at or after) or ``nearest`` (a tie goes forward).
 
     Both sides meet in one union that is shuffled by the keys once; a window
     carries the last (next) right row along.  Null keys never match.
+
+    With ``buckets`` a key's rows are cut by that many ranges of ``on`` too, of
+    about equal numbers of rows, and the last right row of each range is carried
+    over its edge: a hot key is spread over as many tasks.  Without keys, where
+    all rows would meet in one task, 64 ranges are the rule.
     """
     lo, ro = left_on or on, right_on or on
     lb, rb = _names(left_by or by), _names(right_by or by)
@@ -73,19 +78,38 @@ def join_asof(left: DataFrame, right: DataFrame, on=None, left_on=None, right_on
     r_rows = right.where(good).select(*(F.col(f"`{a}`").alias(k) for a, k in zip(rb, keys, strict=True)), F.col(f"`{ro}`").alias("__t"), F.struct(F.col(f"`{ro}`").alias("__t"), *(F.col(f"`{c}`").alias(f"__v{k}") for k, c in enumerate(bring))).alias("__r"))
     rows = l_rows.unionByName(r_rows.withColumn("__side", F.lit(0)), allowMissingColumns=True)
 
-    def found(forward: bool) -> Column:
+    buckets = 64 if buckets is None and not lb else buckets or 1
+    if buckets > 1:
+        cuts = rows.agg(F.percentile_approx("__t", [k / buckets for k in range(1, buckets)]).alias("__cuts"))  # one row
+        rows = rows.crossJoin(F.broadcast(cuts)).withColumn("__c", F.size(F.filter("__cuts", lambda c: c <= F.col("__t")))).drop("__cuts")
+    parts = [*keys, "__c"] if buckets > 1 else keys
+
+    def found(rows: DataFrame, forward: bool, name: str) -> DataFrame:
         side = F.col("__side")
-        w = W.partitionBy(*keys).orderBy(F.col("__t").desc() if forward else F.col("__t").asc(), side.asc())
+        w = W.partitionBy(*parts).orderBy(F.col("__t").desc() if forward else F.col("__t").asc(), side.asc())
         out = F.last_value("__r", True).over(w.rowsBetween(W.unboundedPreceding, 0))
-        return F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ["__t", *keys]]), out)
+        if buckets > 1:
+            own = lambda c: F.when(side == 0, F.col(c))
+            edge = rows.groupBy(*parts).agg((F.min_by if forward else F.max_by)(own("__r"), own("__t")).alias("__e"))
+            over = W.partitionBy(*keys).orderBy(F.col("__c").desc() if forward else F.col("__c").asc()).rowsBetween(W.unboundedPreceding, -1)
+            edge = edge.select(*(F.col(c).alias(f"__at{k}") for k, c in enumerate(parts)), F.last_value("__e", True).over(over).alias("__in"))
+            rows = rows.join(edge, reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__at{k}") for k, c in enumerate(parts)]), "left").drop(*(f"__at{k}" for k in range(len(parts))))
+            out = F.coalesce(out, F.col("__in"))
+        good = F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ["__t", *keys]]), out)
+        return rows.withColumn(name, good).drop("__in")
 
+    kind = dict(left.dtypes)[lo]
     if strategy == "nearest":
-        rows = rows.withColumn("__b", found(False)).withColumn("__f", found(True))
-        gap = lambda a, b: a.cast("double") - b.cast("double") if dict(left.dtypes)[lo] not in ("timestamp_ntz", "date") else F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))
+        rows = found(found(rows, False, "__b"), True, "__f")
+        if kind in ("timestamp_ntz", "timestamp", "date"):
+            gap = lambda a, b: F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))
+        else:
+            exact = "double" if kind in ("float", "double") else kind if kind.startswith("decimal") else "decimal(20,0)"
+            gap = lambda a, b: a.cast(exact) - b.cast(exact)
         back, ahead = gap(F.col("__t"), F.col("__b.__t")), gap(F.col("__f.__t"), F.col("__t"))
         rows = rows.withColumn("__m", F.when(F.col("__b").isNull() | (ahead <= back), F.col("__f")).otherwise(F.col("__b")))
     else:
-        rows = rows.withColumn("__m", found(strategy == "forward"))
+        rows = found(rows, strategy == "forward", "__m")
     return rows.where("__side = 1").select(*(F.col(f"__l.`{c}`").alias(c) for c in left.columns), *(F.col(f"__m.__v{k}").alias(new[c]) for k, c in enumerate(bring)))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import uuid
+
 from pyspark.sql import functions as F
 
 from sparkloom import functions as X
@@ -9,6 +13,7 @@ from sparkloom.frame import Frame
 from sparkloom.functions.windows import Window, over
 from sparkloom.plans.registry import query
 from sparkloom.session import Session
+from sparkloom.sources import readers
 
 
 def _r(c, n, digits=6):
@@ -321,3 +326,212 @@ def sql_bindings(t):
     s.attach_function("bound_loud", lambda x: None if x is None else x.upper(), "string")
     out = s.sql("SELECT n_name, r_name, bound_loud(n_name) AS loud FROM bound_nation JOIN regions ON n_regionkey = r_regionkey WHERE r_name LIKE 'A%'", regions=Frame(t("region")))
     return out.df
+
+
+# Readers and sinks: what was written is read again.
+
+
+def _scratch(spark, name: str) -> str:
+    """A new path below the folder that driver and executors share; one of this machine where all of Spark runs in it."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{(root or 'file:///tmp/checkpoints/loom').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _made.append((target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target))
+    return path
+
+
+_made: list = []
+
+
+@atexit.register
+def _clean() -> None:
+    for fs, target in _made:
+        try:
+            fs.delete(target, True)
+        except Exception:  # the JVM may be gone
+            return
+
+
+_ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+
+
+@query("io_csv", "SELECT * FROM orders")
+def io_csv(t):
+    spark = t("orders").sparkSession
+    Frame(t("orders")).write_csv(path := _scratch(spark, "csv"), write_mode="overwrite")
+    return readers.read_csv(spark, path, schema=_ORDERS).df
+
+
+@query("io_csv_inferred", "SELECT p_partkey::int AS p_partkey, p_name, p_size, p_retailprice FROM part")
+def io_csv_inferred(t):
+    spark = t("part").sparkSession
+    Frame(t("part").select("p_partkey", "p_name", "p_size", "p_retailprice")).write_csv(path := _scratch(spark, "csv"), sep="|")
+    return readers.read_csv(spark, path, delimiter="|").df
+
+
+@query("io_json", "SELECT event_id, user_id, event_type, value, props FROM events")
+def io_json(t):
+    spark = t("events").sparkSession
+    Frame(t("events").select("event_id", "user_id", "event_type", "value", "props")).write_json(path := _scratch(spark, "json"))
+    return readers.read_json(spark, path, schema="event_id long, user_id long, event_type string, value double, props string").df
+
+
+@query("io_parquet_partitioned", "SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity FROM lineitem WHERE l_returnflag <> 'A'")
+def io_parquet(t):
+    spark = t("lineitem").sparkSession
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    path = _scratch(spark, "parquet")
+    Frame(rows.where("l_returnflag <> 'R'")).write_parquet(path, partition_cols=["l_returnflag"])
+    Frame(rows.where("l_returnflag <> 'A'")).write_parquet(path, partition_cols=["l_returnflag"], write_mode="overwrite-partitions")
+    return readers.read_parquet(spark, path).df.where("l_returnflag <> 'A'").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+
+
+@query("io_text_lines", "SELECT c_name || '|' || c_mktsegment AS text, true AS named FROM customer")
+def io_text(t):
+    spark = t("customer").sparkSession
+    t("customer").select(F.concat_ws("|", "c_name", "c_mktsegment")).write.text(path := _scratch(spark, "text"))
+    return readers.read_text(spark, path, file_path_column="file").df.select("text", F.col("file").startswith(path.split(":")[0]).alias("named"))
+
+
+@query("io_warc", "SELECT page_id::varchar AS page, strlen(html) AS size, md5(html) AS digest, 'response' AS kind FROM pages")
+def io_warc(t):
+    """Pages as records of archives, read back by their lengths."""
+    spark = t("pages").sparkSession
+    body = F.coalesce("html", F.lit(""))
+    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Date: 2024-01-02T03:04:05Z\r\nWARC-Record-ID: <urn:uuid:"), F.col("page_id").cast("string"), F.lit(">\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
+    t("pages").select(F.concat(head, body, F.lit("\r\n\r\n"))).write.text(path := _scratch(spark, "warc"))
+    return readers.read_warc(spark, path).df.select(F.col("WARC_Record_ID").alias("page"), F.col("Content_Length").alias("size"), F.md5("warc_content").alias("digest"), F.col("WARC_Type").alias("kind"))
+
+
+@query("io_generator", "SELECT n_nationkey AS n FROM nation")
+def io_generator(t):
+    makers = [lambda k=k: ((k * 5 + i,) for i in range(5)) for k in range(5)]
+    return readers.read_generator(t("nation").sparkSession, makers, "n int").df
+
+
+@query("io_range", "SELECT unnest(range(0, 100000, 7)) AS id")
+def io_range(t):
+    return readers.range(t("nation").sparkSession, 0, 100_000, 7).df
+
+
+@query("io_memory", "SELECT n_nationkey AS k, n_name AS name FROM nation")
+def io_memory(t):
+    spark, nation = t("nation").sparkSession, t("nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    rows = nation.toArrow()
+    one, two = rows.slice(0, 10), rows.slice(10)
+    return readers.from_arrow(spark, one).concat(readers.from_arrow(spark, two.slice(0, 5))).df.union(readers.from_pylist(spark, two.slice(5, 5).to_pylist()).df).union(readers.from_pydict(spark, two.slice(10).to_pydict()).df)
+
+
+@query("io_blobs", "SELECT count(*) AS rows, true AS same_files, true AS sizes, true AS types FROM supplier")
+def io_blobs(t):
+    """Files as blobs, as paths and as file columns say the same of what a writer left."""
+    spark = t("supplier").sparkSession
+    written = Frame(t("supplier")).write_parquet(path := _scratch(spark, "blobs"), single_file=True).df
+    pattern = f"{path}/*.parquet"
+    blob, listed, files = readers.read_blob(spark, pattern).df, readers.from_glob_path(spark, pattern).df, readers.from_files(spark, pattern).df
+    facts = blob.join(listed.select("path", F.col("size").alias("n")), "path").join(written, "path").select(
+        (F.octet_length("content") == F.col("n")).alias("sizes"), X.guess_mime_type("content").isNull().alias("types"), (X.file_size(X.file("path")) == F.col("n")).alias("fs"), X.file_exists(X.file("path")).alias("there"), F.col("path")
+    )
+    names = files.select(X.file_path("file").alias("p"))
+    out = facts.join(names, F.col("path") == F.col("p")).agg(F.bool_and("there").alias("same_files"), F.bool_and(F.col("sizes") & F.col("fs")).alias("sizes"), F.bool_and("types").alias("types"))
+    return readers.read_parquet(spark, pattern).agg(X.count().alias("rows")).df.crossJoin(out)
+
+
+@query("io_url_upload", "SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE text IS NOT NULL")
+def io_upload(t):
+    """Texts stored as files under their digest and downloaded again."""
+    spark = t("documents").sparkSession
+    folder = _scratch(spark, "upload")
+    named = t("documents").where("text IS NOT NULL").select("doc_id", X.upload(F.encode("text", "utf-8"), folder).alias("url"))
+    return named.select("doc_id", F.decode(X.download("url"), "utf-8").alias("text"))
+
+
+@query("sink_commit", "SELECT count(*) AS rows, 'done' AS state FROM orders")
+def sink_commit(t):
+    from sparkloom.operators.sinks import Sink
+
+    class Rows(Sink):
+        def write(self, batches):
+            yield {"rows": sum(b.num_rows for b in batches), "state": "done"}
+
+        def finalize(self, results):
+            return [{"rows": sum(r["rows"] for r in results), "state": "done"}]
+
+        def schema(self):
+            return "rows long, state string"
+
+    return Frame(t("orders")).write_sink(Rows()).df
+
+
+@query("checkpoint_resume", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'")
+def checkpoint_resume(t):
+    """A second run sees what a first, finished one left; keys that were staged only are seen again."""
+    from sparkloom.operators.sinks import CheckpointStore
+
+    spark, orders = t("orders").sparkSession, t("orders").select("o_orderkey", "o_orderstatus")
+    store = CheckpointStore(spark, _scratch(spark, "store"))
+    store.stage(orders.where("o_orderstatus = 'F'"), "o_orderkey", "one")
+    store.commit("one")
+    store.stage(orders.where("o_orderstatus = 'O'"), "o_orderkey", "two")  # never committed
+    return Frame(orders).checkpointed(store, "o_orderkey").select("o_orderkey").df
+
+
+@query("sql_path_tables", "SELECT n.n_name AS name, r.r_name AS region, c.n AS n FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) c ON c.k = n.n_nationkey")
+def sql_path_tables(t):
+    """Path literals and reader functions in FROM."""
+    spark = t("nation").sparkSession
+    Frame(t("region")).write_csv(csv := _scratch(spark, "region"))
+    Frame(t("nation")).write_parquet(one := _scratch(spark, "nation") + ".parquet")
+    Frame(t("customer").select(F.col("c_nationkey").alias("k"))).write_json(js := _scratch(spark, "customer"))
+    return Session(spark).sql(f"SELECT n.n_name AS name, r.r_name AS region, c.n AS n FROM '{one}' n JOIN read_csv('{csv}') r ON n.n_regionkey = r.r_regionkey JOIN (SELECT k, count(*) AS n FROM read_json('{js}') GROUP BY k) c ON c.k = n.n_nationkey").df
+
+
+@query(
+    "sql_library_functions",
+    """SELECT p_partkey, p_brand, (instr(p_name, 'e') - 1)::int AS at, upper(p_name[1:1]) || lower(p_name[2:]) AS cap, strlen(p_name)::int AS bytes, greatest(10.0, least(30.0, p_size::double)) AS cl, p_partkey & 12 AS b, (len(p_name) - len(replace(p_name, 'a', '')))::int AS cm, trim(p_type) AS st, list_contains(string_split(p_name, ' '), 'red') AS lc, p_size * 4 AS sh FROM part""",
+)
+def sql_library(t):
+    s = Session(t("part").sparkSession)
+    s.attach_library()
+    return s.sql(
+        """SELECT * EXCLUDE (p_name, p_type, p_size, p_retailprice) FROM (SELECT *, find(p_name, 'e') AS at, capitalize(p_name) AS cap, length_bytes(p_name) AS bytes, clip(p_size, 10, 30) AS cl, bitwise_and(p_partkey, 12) AS b, count_matches(p_name, 'a') AS cm, strip('  ' || p_type || ' ') AS st, list_contains(split(p_name, ' '), 'red') AS lc, shift_left(p_size, 2) AS sh FROM part_rows)""",
+        part_rows=t("part"),
+    ).df
+
+
+# As-of joins whose keys are few, or absent: a key's rows are cut by time.
+
+_CLICKS = "SELECT event_id, ts FROM events WHERE event_type = 'click'"
+_OTHERS = "SELECT ts, min(value) AS price FROM events WHERE event_type <> 'click' GROUP BY ts"
+
+
+for _strategy, _sign in (("backward", ">="), ("forward", "<=")):
+
+    @query(f"join_asof_no_key_{_strategy}", f"SELECT e.event_id, e.ts, r.price FROM ({_CLICKS}) e ASOF LEFT JOIN ({_OTHERS}) r ON e.ts {_sign} r.ts")
+    def _asof_alone(t, strategy=_strategy):
+        others = t("events").where("event_type <> 'click'").groupBy("ts").agg(F.min("value").alias("price"))
+        return Frame(t("events").where("event_type = 'click'").select("event_id", "ts")).join_asof(Frame(others), on="ts", strategy=strategy).df
+
+    @query(
+        f"join_asof_hot_key_{_strategy}",
+        f"SELECT e.o_orderkey, e.o_orderstatus, e.o_orderdate, r.top FROM (SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders) e ASOF LEFT JOIN (SELECT o_orderstatus, o_orderdate, max(o_totalprice) AS top FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1, 2) r ON e.o_orderstatus = r.o_orderstatus AND e.o_orderdate {_sign} r.o_orderdate",
+    )
+    def _asof_hot(t, strategy=_strategy):
+        right = t("orders").where("o_orderpriority LIKE '1%'").groupBy("o_orderstatus", "o_orderdate").agg(F.max("o_totalprice").alias("top"))
+        return Frame(t("orders").select("o_orderkey", "o_orderstatus", "o_orderdate")).join_asof(Frame(right), on="o_orderdate", by="o_orderstatus", strategy=strategy, buckets=16).df
+
+
+@query("stream_windowed", "SELECT time_bucket(INTERVAL 1 HOURS, ts) AS bucket, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def stream_windowed(t):
+    """The table as a stream of files, counted by windows, until all of it has been read."""
+    from sparkloom.streaming import streams
+
+    spark = t("events").sparkSession
+    source = _scratch(spark, "stream-in")
+    t("events").select("ts", "event_type", "value").write.parquet(source)
+    events = streams.stream_files(spark, source, "ts timestamp_ntz, event_type string, value double")
+    counted = streams.windowed(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", ["event_type"], n=F.count("*"), total=F.sum("value"))
+    streams.write_stream(counted, _scratch(spark, "stream-out"), _scratch(spark, "stream-state"), name := f"streamed_{uuid.uuid4().hex}")
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("bucket"), "event_type", "n", F.round("total", 2).alias("total"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.plans.registry import query
@@ -44,15 +45,12 @@ def q1(t):
        JOIN supplier ON s_suppkey = o.l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE p_size <= 15""",
 )
 def q2(t):
-    offers = t("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("cost"))
-    best = offers.groupBy("l_partkey").agg(F.min("cost").alias("cost"))
-    return (
-        t("part").where("p_size <= 15").join(best, F.col("p_partkey") == best["l_partkey"]).select("p_partkey", best["cost"].alias("least"))
-        .join(offers, (F.col("p_partkey") == F.col("l_partkey")) & (F.col("least") == F.col("cost")))
-        .join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-        .join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
-        .select("p_partkey", "s_suppkey", "s_name", "n_name", "cost")
-    )
+    """Only offers of the parts asked for are aggregated, once; the least of a part is a window over that."""
+    wanted = t("part").where("p_size <= 15").select("p_partkey")
+    offers = t("lineitem").join(wanted, F.col("l_partkey") == F.col("p_partkey"), "left_semi").groupBy("l_partkey", "l_suppkey").agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("cost"))
+    best = offers.withColumn("at", F.rank().over(Window.partitionBy("l_partkey").orderBy("cost"))).where("at = 1")
+    suppliers = t("supplier").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    return best.join(suppliers, F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("l_partkey").alias("p_partkey"), "s_suppkey", "s_name", "n_name", "cost")
 
 
 @query(
@@ -89,12 +87,13 @@ def q4(t):
        JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY n_name""",
 )
 def q5(t):
-    nations = t("nation").join(t("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return (
-        t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
-        .join(t("supplier"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
-        .join(nations, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(money(revenue(), "revenue"))
-    )
+    """The region cuts suppliers and customers before anything of lineitem and orders is shuffled."""
+    nations = t("nation").join(t("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name")
+    suppliers = t("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_name")
+    customers = t("customer").join(nations.select("n_nationkey"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey", "c_nationkey")
+    bought = t("orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    sold = t("lineitem").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    return sold.join(bought, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("s_nationkey") == F.col("c_nationkey"))).groupBy("n_name").agg(money(revenue(), "revenue"))
 
 
 @query(
@@ -116,11 +115,9 @@ def q6(t):
 def q7(t):
     sn = t("nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("sk"), F.col("n_name").alias("supp_nation"))
     cn = t("nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("ck"), F.col("n_name").alias("cust_nation"))
-    return (
-        t("lineitem").join(t("supplier").join(sn, F.col("s_nationkey") == F.col("sk")), F.col("s_suppkey") == F.col("l_suppkey"))
-        .join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer").join(cn, F.col("c_nationkey") == F.col("ck")), F.col("c_custkey") == F.col("o_custkey"))
-        .groupBy("supp_nation", "cust_nation", F.year("l_shipdate").alias("l_year")).agg(money(revenue(), "revenue"))
-    )
+    bought = t("orders").join(t("customer").join(cn, F.col("c_nationkey") == F.col("ck")), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "cust_nation")
+    sold = t("lineitem").join(t("supplier").join(sn, F.col("s_nationkey") == F.col("sk")), F.col("s_suppkey") == F.col("l_suppkey"))
+    return sold.join(bought, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("supp_nation", "cust_nation", F.year("l_shipdate").alias("l_year")).agg(money(revenue(), "revenue"))
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,55 @@ def dialect(sql: str) -> str:
         return f"\0{len(quoted) - 1}\0"
 
     text = re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`", hold, sql).replace("//", " div ")
+    text = re.sub(r"\*\s+exclude\s*\(", "* EXCEPT (", text, flags=re.I)
+    text = re.sub(r"\*\s+exclude\s+([\w.`\0]+)", r"* EXCEPT (\1)", text, flags=re.I)
     return re.sub("\0(\\d+)\0", lambda m: quoted[int(m[1])], _order_nulls(text))
 
 
+_READ = r"\bread_(parquet|csv|json|text|iceberg|deltalake)\s*\(\s*'([^']*)'\s*\)|\b(from|join)\s+'([^']*\.(parquet|csv|json|jsonl|ndjson))'"
+
+#: Functions of the library whose name or meaning Spark's SQL hasn't: name, parameters, type and body.  Places start at 0.
+SQL_FUNCTIONS = (
+    ("find", "s STRING, sub STRING", "INT", "instr(s, sub) - 1"),
+    ("strip", "s STRING", "STRING", r"regexp_replace(s, '^\\s+|\\s+$', '')"),
+    ("lstrip", "s STRING", "STRING", r"regexp_replace(s, '^\\s+', '')"),
+    ("rstrip", "s STRING", "STRING", r"regexp_replace(s, '\\s+$', '')"),
+    ("capitalize", "s STRING", "STRING", "concat(upper(left(s, 1)), lower(substring(s, 2)))"),
+    ("length_bytes", "s STRING", "INT", "octet_length(s)"),
+    ("count_matches", "s STRING, sub STRING", "INT", "(char_length(s) - char_length(replace(s, sub, ''))) div char_length(sub)"),
+    ("levenshtein_distance", "a STRING, b STRING", "INT", "levenshtein(a, b)"),
+    ("regexp_split", "s STRING, pattern STRING", "ARRAY<STRING>", "split(s, pattern)"),
+    ("list_count", "l ARRAY<STRING>", "INT", "size(filter(l, x -> x IS NOT NULL))"),
+    ("list_join", "l ARRAY<STRING>, delimiter STRING", "STRING", "array_join(l, delimiter)"),
+    ("list_contains", "l ARRAY<STRING>, item STRING", "BOOLEAN", "array_contains(l, item)"),
+    ("list_distinct", "l ARRAY<STRING>", "ARRAY<STRING>", "array_distinct(array_compact(l))"),
+    ("list_sum", "l ARRAY<DOUBLE>", "DOUBLE", "CASE WHEN size(filter(l, x -> x IS NOT NULL)) > 0 THEN aggregate(l, 0D, (a, x) -> a + coalesce(x, 0D)) END"),
+    ("list_mean", "l ARRAY<DOUBLE>", "DOUBLE", "aggregate(l, 0D, (a, x) -> a + coalesce(x, 0D)) / nullif(size(filter(l, x -> x IS NOT NULL)), 0)"),
+    ("list_min", "l ARRAY<DOUBLE>", "DOUBLE", "array_min(l)"),
+    ("list_max", "l ARRAY<DOUBLE>", "DOUBLE", "array_max(l)"),
+    ("clip", "x DOUBLE, low DOUBLE, high DOUBLE", "DOUBLE", "CASE WHEN x IS NOT NULL THEN least(greatest(x, low), high) END"),
+    ("arcsin", "x DOUBLE", "DOUBLE", "asin(x)"),
+    ("arccos", "x DOUBLE", "DOUBLE", "acos(x)"),
+    ("arctan", "x DOUBLE", "DOUBLE", "atan(x)"),
+    ("shift_left", "x BIGINT, n INT", "BIGINT", "shiftleft(x, n)"),
+    ("shift_right", "x BIGINT, n INT", "BIGINT", "shiftright(x, n)"),
+    ("bitwise_and", "a BIGINT, b BIGINT", "BIGINT", "a & b"),
+    ("bitwise_or", "a BIGINT, b BIGINT", "BIGINT", "a | b"),
+    ("bitwise_xor", "a BIGINT, b BIGINT", "BIGINT", "a ^ b"),
+    ("fill_nan", "x DOUBLE, y DOUBLE", "DOUBLE", "nanvl(x, y)"),
+    ("is_nan", "x DOUBLE", "BOOLEAN", "CASE WHEN x IS NOT NULL THEN isnan(x) END"),
+    ("is_inf", "x DOUBLE", "BOOLEAN", "abs(x) = double('infinity')"),
+    ("day_of_week", "t TIMESTAMP_NTZ", "INT", "weekday(t)"),
+    ("day_of_month", "t TIMESTAMP_NTZ", "INT", "dayofmonth(t)"),
+    ("day_of_year", "t TIMESTAMP_NTZ", "INT", "dayofyear(t)"),
+    ("week_of_year", "t TIMESTAMP_NTZ", "INT", "weekofyear(t)"),
+    ("partition_days", "t TIMESTAMP_NTZ", "DATE", "to_date(t)"),
+    ("partition_months", "t TIMESTAMP_NTZ", "INT", "(year(t) - 1970) * 12 + month(t) - 1"),
+    ("partition_years", "t TIMESTAMP_NTZ", "INT", "year(t) - 1970"),
+    ("great_circle_distance", "a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE", "DOUBLE", "2 * 6371008.8 * asin(sqrt(least(1D, pow(sin(radians(c - a) / 2), 2) + cos(radians(a)) * cos(radians(c)) * pow(sin(radians(d - b) / 2), 2))))"),
+)
+
+
 _STOP = re.compile(r"\b(limit|offset|rows|range|union|intersect|except|having|fetch)\b", re.I)
 
 
@@ -64,7 +111,32 @@ class Session:
         """Run the engine's SQL; frames given by name are tables of the query."""
         for name, f in frames.items():
             self.create_temp_table(name, f)
-        return Frame(self.spark.sql(dialect(query)))
+        return Frame(self.spark.sql(dialect(self._with_sources(query))))
+
+    def _with_sources(self, query: str) -> str:
+        """``read_csv('path')`` and ``FROM 'path.parquet'`` as views over the readers."""
+        from sparkloom.sources import readers
+
+        if not re.search(_READ, query, re.I):
+            return query
+
+        def view(m: re.Match) -> str:
+            kind, path = (m[1], m[2]) if m[1] else (m[5], m[4])
+            kind = {"jsonl": "json", "ndjson": "json"}.get(kind.lower(), kind.lower())
+            name = f"loom_{kind}_{uuid.uuid4().hex}"
+            self.create_temp_table(name, getattr(readers, f"read_{kind}")(self.spark, path))
+            return name if m[1] else f"{m[3]} {name}"
+
+        return re.sub(_READ, view, query, flags=re.I)
+
+    def attach_library(self) -> list[str]:
+        """Make the library's functions callable by name in SQL (temporary SQL functions, inlined by the optimiser)."""
+        for name, params, kind, body in SQL_FUNCTIONS:
+            self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {kind} RETURN {body}")
+        return [f[0] for f in SQL_FUNCTIONS]
+
+    def detach_function(self, name: str) -> None:
+        self.spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}")
 
     def sql_expr(self, text: str):
         return F.expr(dialect(text))
@@ -118,6 +190,9 @@ class Session:
         for k, v in options.items():
             self.spark.conf.set(f"spark.sql.catalog.{name}.{k}", v)
 
+    def detach_catalog(self, name: str) -> None:
+        self.spark.conf.unset(f"spark.sql.catalog.{name}")
+
     def set_catalog(self, name: str) -> None:
         self.spark.catalog.setCurrentCatalog(name)
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from builtins import range as _range
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from sparkloom.frame import Frame
+from sparkloom.functions.media import open_path
 
 
 def _finish(df: DataFrame, file_path_column: str | None) -> Frame:
@@ -69,38 +72,159 @@ def from_files(spark: SparkSession, path) -> Frame:
 _WARC = "WARC_Record_ID string, WARC_Type string, WARC_Date timestamp, Content_Length long, WARC_Identified_Payload_Type string, warc_content binary, warc_headers string"
 
 
-def warc_records(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """Header fields and content of each record."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        fields = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            k, _, v = line.partition(":")
-            fields[k.strip()] = v.strip()
-        n = int(fields.get("Content-Length", 0))
-        yield fields, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
+class _Bytes:
+    """A file's bytes from an offset on, a block at a time, unpacked where they are gzip members."""
+
+    BLOCK = 1 << 20
+
+    def __init__(self, file, start: int, packed: bool):
+        self.file, self.at, self.packed, self.raw, self.out, self.unpack = file, start, packed, b"", b"", None
+        self.member = start  # where the gzip member that was unpacked last starts
+
+    def more(self) -> bool:
+        if not self.raw:
+            self.raw = self.file.read_at(self.BLOCK, self.at) if self.at < self.file.size() else b""
+            self.at += len(self.raw)
+        if not self.raw:
+            return False
+        if not self.packed:
+            self.out, self.raw = self.out + self.raw, b""
+            return True
+        if self.unpack is None:
+            self.unpack, self.member = zlib.decompressobj(31), self.at - len(self.raw)
+        self.out += self.unpack.decompress(self.raw)
+        self.raw = b""
+        if self.unpack.eof:
+            self.raw, self.unpack = self.unpack.unused_data, None
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """Everything before the mark, which goes too; None where the file ends first."""
+        at = -1
+        while (at := self.out.find(mark)) < 0:
+            if not self.more():
+                return None
+        head, self.out = self.out[:at], self.out[at + len(mark) :]
+        return head
+
+    def take(self, n: int) -> bytes:
+        parts, held = [], 0
+        while held + len(self.out) < n:
+            parts.append(self.out)
+            held, self.out = held + len(self.out), b""
+            if not self.more():
+                break
+        part, self.out = self.out[: n - held], self.out[n - held :]
+        return b"".join([*parts, part])
+
+
+def _warc_fields(head: bytes) -> dict[str, str]:
+    fields = {}
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        k, _, v = line.partition(":")
+        fields[k.strip()] = v.strip()
+    return fields
+
+
+def warc_records(file, start: int = 0, end: int | None = None, packed: bool = False) -> Iterator[tuple[dict, bytes]]:
+    """Header fields and content of each record; of gzip files those whose member starts in start..end."""
+    end = file.size() if end is None else end
+    at = _next_member(file, start, end) if packed else start
+    if at is None:
+        return
+    source = _Bytes(file, at, packed)
+    while source.until(b"WARC/") is not None and (not packed or source.member < end):
+        fields = _warc_fields(b"WARC/" + (source.until(b"\r\n\r\n") or b""))
+        yield fields, source.take(int(fields.get("Content-Length", 0)))
+
+
+def _next_member(file, at: int, end: int) -> int | None:
+    """The first place from ``at`` on where a gzip member starts that holds a WARC record."""
+    while at < end:
+        block = file.read_at(min(_Bytes.BLOCK, end - at) + 2, at)
+        found = block.find(b"\x1f\x8b\x08")
+        while found >= 0 and at + found < end:
+            try:
+                if zlib.decompressobj(31).decompress(file.read_at(4096, at + found), 16).lstrip().startswith(b"WARC/"):
+                    return at + found
+            except zlib.error:
+                pass
+            found = block.find(b"\x1f\x8b\x08", found + 1)
+        at += max(1, len(block) - 2)
+    return None
+
+
+_WARC_ARROW = pa.schema([("WARC_Record_ID", pa.string()), ("WARC_Type", pa.string()), ("WARC_Date", pa.timestamp("us", "UTC")), ("Content_Length", pa.int64()), ("WARC_Identified_Payload_Type", pa.string()), ("warc_content", pa.binary()), ("warc_headers", pa.string())])
+
+
+@dataclass
+class _WarcRange(InputPartition):
+    path: str
+    start: int
+    end: int
+
+
+class _WarcReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.folder, self.range_bytes = options["path"], int(options.get("rangebytes", 128 << 20))
 
-
-def read_warc(spark: SparkSession, path) -> Frame:
-    """A row for each record; files are read whole, one task a file at least."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def partitions(self) -> list[InputPartition]:
+        fs, root = open_path(self.folder)
+        info = fs.get_file_info(root)
+        files = [info] if info.is_file else [f for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.is_file and f.base_name[0] not in "._"]
+        out = []
+        for f in sorted(files, key=lambda f: f.path):
+            step = self.range_bytes if f.path.endswith(".gz") else max(f.size, 1)
+            out += [_WarcRange(f.path, at, min(at + step, f.size)) for at in _range(0, f.size, step)]
+        return out or [_WarcRange("", 0, 0)]
+
+    def read(self, part: _WarcRange) -> Iterator[pa.RecordBatch]:
         import json
-        from datetime import UTC, datetime
-
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data = content.as_py()
-                rows = []
-                for f, body in warc_records(gzip.decompress(data) if name.endswith(".gz") else data):
-                    when = f.pop("WARC-Date", None)
-                    rows.append({"WARC_Record_ID": f.pop("WARC-Record-ID", "").strip("<>").removeprefix("urn:uuid:") or None, "WARC_Type": f.pop("WARC-Type", None), "WARC_Date": datetime.fromisoformat(when.replace("Z", "+00:00")).astimezone(UTC) if when else None, "Content_Length": int(f.pop("Content-Length", 0)), "WARC_Identified_Payload_Type": f.pop("WARC-Identified-Payload-Type", None), "warc_content": body, "warc_headers": json.dumps(f)})
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("WARC_Record_ID", pa.string()), ("WARC_Type", pa.string()), ("WARC_Date", pa.timestamp("us", "UTC")), ("Content_Length", pa.int64()), ("WARC_Identified_Payload_Type", pa.string()), ("warc_content", pa.binary()), ("warc_headers", pa.string())]))
-
-    return Frame(spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _WARC))
+        from datetime import datetime
+
+        if not part.path:
+            return
+        rows, held = [], 0
+        with open_path(self.folder)[0].open_input_file(part.path) as file:
+            for f, body in warc_records(file, part.start, part.end, part.path.endswith(".gz")):
+                when = f.pop("WARC-Date", None)
+                rows.append(
+                    {
+                        "WARC_Record_ID": f.pop("WARC-Record-ID", "").strip("<>").removeprefix("urn:uuid:") or None,
+                        "WARC_Type": f.pop("WARC-Type", None),
+                        "WARC_Date": datetime.fromisoformat(when.replace("Z", "+00:00")) if when else None,
+                        "Content_Length": int(f.pop("Content-Length", 0)),
+                        "WARC_Identified_Payload_Type": f.pop("WARC-Identified-Payload-Type", None),
+                        "warc_content": body,
+                        "warc_headers": json.dumps(f),
+                    }
+                )
+                held += len(body)
+                if held >= 8 << 20:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_WARC_ARROW)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_WARC_ARROW)
+
+
+class WarcArchives(DataSource):
+    """``spark.read.format("warc_archives").load(path)``: gzip files by byte ranges (option rangeBytes), plain ones a task each."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc_archives"
+
+    def schema(self) -> str:
+        return _WARC
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _WarcReader(dict(self.options))
+
+
+def read_warc(spark: SparkSession, path: str, **options) -> Frame:
+    """A row for each record; a task holds some megabytes of a file, or one record."""
+    spark.dataSource.register(WarcArchives)
+    return Frame(spark.read.format("warc_archives").options(**options).load(path))
 
 
 def read_sql(spark: SparkSession, sql: str, conn: str | Callable, partition_col: str | None = None, num_partitions: int = 1, schema: str | None = None, **options) -> Frame:
@@ -147,15 +271,30 @@ def read_kafka(spark: SparkSession, bootstrap_servers: str, topics: str, start:
     return Frame(spark.read.format("kafka").options(**{"kafka.bootstrap.servers": bootstrap_servers, "subscribe": topics, "startingOffsets": start, "endingOffsets": end} | options).load())
 
 
-def _format(name: str):
-    def read(spark: SparkSession, path: str, **options) -> Frame:
-        return Frame(spark.read.format(name).options(**options).load(path))
+def _table(spark: SparkSession, fmt: str, path: str, chosen: dict, options: dict) -> Frame:
+    """Spark's connector, whose jar must be on the class path, with what is chosen by its own option names."""
+    return Frame(spark.read.format(fmt).options(**{k: v for k, v in chosen.items() if v is not None}, **options).load(path))
+
+
+def read_iceberg(spark: SparkSession, table: str, snapshot_id: int | None = None, branch: str | None = None, tag: str | None = None, as_of_timestamp: int | None = None, **options) -> Frame:
+    """A table as it is, at a snapshot, of a branch or tag, or at a time in milliseconds."""
+    return _table(spark, "iceberg", table, {"snapshot-id": snapshot_id, "branch": branch, "tag": tag, "as-of-timestamp": as_of_timestamp}, options)
+
+
+def read_deltalake(spark: SparkSession, table: str, version: int | None = None, timestamp: str | None = None, **options) -> Frame:
+    return _table(spark, "delta", table, {"versionAsOf": version, "timestampAsOf": timestamp}, options)
+
+
+def read_hudi(spark: SparkSession, table_uri: str, as_of_instant: str | None = None, **options) -> Frame:
+    return _table(spark, "hudi", table_uri, {"as.of.instant": as_of_instant}, options)
+
 
-    read.__doc__ = f"Spark's {name} connector, whose jar must be on the class path; options go to it (a version, a snapshot)."
-    return read
+def read_paimon(spark: SparkSession, path: str, snapshot_id: int | None = None, tag: str | None = None, **options) -> Frame:
+    return _table(spark, "paimon", path, {"scan.snapshot-id": snapshot_id, "scan.tag-name": tag}, options)
 
 
-read_iceberg, read_deltalake, read_hudi, read_paimon, read_lance = map(_format, ("iceberg", "delta", "hudi", "paimon", "lance"))
+def read_lance(spark: SparkSession, url: str, version: int | None = None, **options) -> Frame:
+    return _table(spark, "lance", url, {"version": version}, options)
 
 
 def read_huggingface(spark: SparkSession, repo: str, **options) -> Frame:

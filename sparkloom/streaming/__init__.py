@@ -1 +1 @@
-"""Part of sparkloom."""
+"""Structured Streaming: the engine's tables as streams of files."""
