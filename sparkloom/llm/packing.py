@@ -13,9 +13,14 @@ The plan is a small table of (length, rank interval, cut) -> window numbers.
 Ranks of equal lengths come from counts per task and length, so a length that
 many documents share is never gathered in one place.
 
+Offsets by task and length join the tokens by Spark's own choice: broadcast while
+they are below its threshold, else both sides are shuffled.
+
 Defined cases: a null or empty text is the end id alone; repeated rows are
-packed each by itself; a null doc_id stays null; an empty table gives an empty
-result; columns other than doc_id and text are not read.
+packed each by itself; equal lengths are taken in the order of tasks and rows; a
+null doc_id stays null; a long text is tokenised whole and cut into windows; an
+empty table gives an empty result; columns other than doc_id and text, whatever
+their names, are not read.
 """
 
 from __future__ import annotations

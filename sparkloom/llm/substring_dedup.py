@@ -6,8 +6,10 @@ equal offsets, so only windows whose anchor's k-gram occurs twice can repeat.
 The windows of one anchor occurrence are neighbours; together they span a
 context.
 
-1. Batches send their distinct (anchor, context) hashes to shards by anchor.
-   A context that occurs twice has all its windows repeated and is settled.
+1. Batches send their distinct (anchor, context) hashes to shards by anchor,
+   a row for each shard that they have any for: never more rows than they have
+   distinct contexts.  A context that occurs twice (128 bits of hashes over its
+   bytes agree) has all its windows repeated and is settled.
 2. Where an anchor occurs with several contexts, one copy of each goes to a
    shard by anchor.  There a Burrows-Wheeler transform of the contexts is
    expanded breadth-first: intervals of strings are extended backwards symbol by
@@ -18,10 +20,17 @@ context.
    with one common passage.
 3. Batches merge the spans and drop the bytes.
 
+On the documents of sf0.1 step 1 settles 91 % of the repeated windows, whole
+copies and passages for the most part, and step 2 finds the other 9 %, at the
+edges of passages.
+
 Defined cases: null and empty texts lose nothing; texts below ``length`` bytes
 neither; repeated rows repeat each other entirely; a window inside one document
-counts as repeated when it starts elsewhere in it, overlaps included; matches
-never cross documents; empty tables give empty results.
+counts as repeated when it starts elsewhere in it, overlaps included; of equal
+k-grams in a window the leftmost is its anchor; matches never cross documents; a
+null doc_id stays null; a long text is hashed whole, within some tens of bytes
+for each byte of it; empty tables give empty results; further columns, whatever
+their names, are not read by ``removal_report`` and kept by ``without_repeats``.
 """
 
 from __future__ import annotations
