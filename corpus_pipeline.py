@@ -2,7 +2,15 @@
 
 Each stage is (spark, docs, sf_dir) -> DataFrame and works on everything its
 predecessor kept; ``run`` writes each stage's rows as Parquet to the shared
-folder and reads them back as the next stage's documents.
+folder and reads them back as the next stage's documents; what no later stage
+reads is deleted.
+
+Defined cases, in the stages' modules at length: null and empty texts stay in
+until near-dedup, where they form one group; rows without a doc_id stay distinct
+from others; repeated rows are one document from near-dedup on; equal texts go
+to the smallest doc_id; long texts are handled whole in every stage; columns that
+the stages don't know, whatever their names, are carried to the last; an empty
+table runs through and gives no pieces.
 """
 
 from __future__ import annotations
@@ -11,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import mixing, packing, simhash, substring_dedup, toxicity
 from sparkloom.llm.queries import tokenizer_path
-from sparkloom.llm.shared import saved
+from sparkloom.llm.shared import discard, saved
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = saved(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
