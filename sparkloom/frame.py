@@ -44,7 +44,27 @@ class Grouped:
 _AGGREGATES = {n: getattr(agg_functions, n) for n in ("sum", "mean", "stddev", "var", "min", "max", "any_value", "count", "skew", "product", "count_distinct", "list_agg", "list_agg_distinct", "string_agg", "median", "bool_and", "bool_or")}
 
 
+def rebatched(batches: Iterator, size: int) -> Iterator:
+    """Arrow batches of ``size`` rows, and one of the rest."""
+    import pyarrow as pa
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= size:
+            table = pa.Table.from_batches(held).combine_chunks()
+            for at in range(0, rows - size + 1, size):
+                yield from table.slice(at, size).to_batches()
+            table = table.slice(rows - rows % size)
+            held, rows = table.to_batches(), table.num_rows
+    if rows:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 class Frame:
+    batch_rows: int | None = None
+
     def __init__(self, df: DataFrame):
         self.df = df
 
@@ -286,25 +306,20 @@ class Frame:
         return Frame(self.df.coalesce(num) if num <= self.df.rdd.getNumPartitions() else self.df.repartition(num))
 
     def into_batches(self, size: int) -> Frame:
-        """Arrow batches of ``size`` rows each, the last of a partition aside, for what reads them next."""
+        """This frame, whose ``map_batches`` sees ``size`` rows at once, the last of a partition aside."""
+        out = Frame(self.df)
+        out.batch_rows = size
+        return out
+
+    def map_batches(self, f: Callable, schema: str | None = None) -> Frame:
+        """f(Arrow batch) -> Arrow batch, for batches of the size that ``into_batches`` gave, or Spark's."""
+        size = self.batch_rows
 
         def run(batches):
-            import pyarrow as pa
-
-            held, rows = [], 0
-            for batch in batches:
-                held.append(batch)
-                rows += batch.num_rows
-                if rows < size:
-                    continue
-                table = pa.Table.from_batches(held).combine_chunks()
-                for at in range(0, rows - size + 1, size):
-                    yield from table.slice(at, size).to_batches()
-                table = table.slice(rows - rows % size)
-                held, rows = table.to_batches(), table.num_rows
-            yield from held
-
-        return Frame(self.df.mapInArrow(run, self.df.schema))
+            for batch in rebatched(batches, size) if size else batches:
+                yield f(batch)
+
+        return Frame(self.df.mapInArrow(run, schema or self.df.schema))
 
     def shard(self, world_size: int, rank: int) -> Frame:
         """The rows of every world_size-th file."""

@@ -60,3 +60,31 @@ def string_agg(expr, delimiter: str = "") -> Column:
 def list_concat_agg(expr) -> Column:
     """The lists of a group as one list."""
     return F.flatten(F.collect_list(col(expr)))
+
+
+def distinct_sketch(expr, lg_k: int = 12) -> Column:
+    """A mergeable sketch (HyperLogLog) of a group's distinct values, as bytes that can be stored."""
+    return F.hll_sketch_agg(col(expr), F.lit(lg_k))
+
+
+def merge_sketch(expr) -> Column:
+    """One sketch of many, by merging."""
+    return F.hll_union_agg(col(expr))
+
+
+def sketch_distinct(expr) -> Column:
+    """The number of distinct values that a sketch stands for."""
+    return F.hll_sketch_estimate(col(expr))
+
+
+def quantile_sketch(expr, k: int = 200) -> Column:
+    """A mergeable sketch of a group's numbers from which quantiles are read."""
+    return F.kll_sketch_agg_double(col(expr).cast("double"), F.lit(k))
+
+
+def merge_quantile_sketches(left, right) -> Column:
+    return F.kll_sketch_merge_double(col(left), col(right))
+
+
+def sketch_quantile(expr, rank: float) -> Column:
+    return F.kll_sketch_get_quantile_double(col(expr), F.lit(rank))

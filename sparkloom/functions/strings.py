@@ -302,7 +302,7 @@ damerau_levenshtein_distance.__doc__ = "Edits with swaps of neighbours."
 
 
 def tokenize_encode(expr, tokens_path: str, pattern: str | None = None) -> Column:
-    """Token ids by a vocabulary file of base64 tokens and ranks."""
+    """Token ids by a vocabulary file of base64 tokens and ranks: a path that every executor has, or the name of a file added by ``addFile``."""
 
     @F.pandas_udf("array<int>")
     def run(s: pd.Series) -> pd.Series:
@@ -327,11 +327,14 @@ _encodings: dict = {}
 
 def _encoding(path: str, pattern: str | None):
     import base64
+    import os
 
     import tiktoken
+    from pyspark import SparkFiles
 
     if (path, pattern) not in _encodings:
-        with open(path, "rb") as f:
+        where = path if os.path.exists(path) else SparkFiles.get(path)
+        with open(where, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _encodings[path, pattern] = tiktoken.Encoding("file", pat_str=pattern or _PIECES, mergeable_ranks=ranks, special_tokens={})
     return _encodings[path, pattern]

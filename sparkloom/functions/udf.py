@@ -65,10 +65,15 @@ def func(return_dtype: str, on_error: str = "raise", max_retries: int = 0, max_c
     return put
 
 
-def batch(return_dtype: str):
-    """By batch: pandas series in, one out."""
+def batch(return_dtype: str, batch_size: int | None = None):
+    """By batch: pandas series in, one out; with ``batch_size`` of that many rows at most."""
+
+    def put(whole: Callable):
+        def f(*cols):
+            if batch_size is None or len(cols[0]) <= batch_size:
+                return whole(*cols)
+            return pd.concat([whole(*(c.iloc[k : k + batch_size] for c in cols)) for k in range(0, len(cols[0]), batch_size)])
 
-    def put(f: Callable):
         def many(batches: Iterator[tuple]) -> Iterator[pd.Series]:
             for cols in batches:
                 yield f(*cols)

@@ -132,5 +132,6 @@ class CheckpointStore:
     def commit(self, run: str) -> None:
         fs, done = self._at("done")
         fs.mkdirs(done)
-        if not fs.rename(self._at("staged", run)[1], self._at("done", run)[1]):
+        staged, to = self._at("staged", run)[1], self._at("done", run)[1]
+        if not fs.exists(staged) or fs.exists(to) or not fs.rename(staged, to):
             raise OSError(f"run {run} wasn't staged, or is there already")

@@ -535,3 +535,87 @@ def stream_windowed(t):
     counted = streams.windowed(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", ["event_type"], n=F.count("*"), total=F.sum("value"))
     streams.write_stream(counted, _scratch(spark, "stream-out"), _scratch(spark, "stream-state"), name := f"streamed_{uuid.uuid4().hex}")
     return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("bucket"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+# Sketches, user functions, sessions, results.
+
+
+@query("agg_mergeable_sketches", "SELECT n, true AS close, true AS median_close FROM (SELECT count(*) AS n FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem))")
+def agg_sketches(t):
+    """Sketches by group, merged over all groups, against the exact values of the whole table."""
+    parts = t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(X.distinct_sketch("l_partkey").alias("s"))
+    merged = parts.agg(F.count("*").alias("n"), X.sketch_distinct(X.merge_sketch("s")).alias("about"))
+    half = lambda even: t("lineitem").where(F.col("l_linestatus") == ("F" if even else "O")).agg(X.quantile_sketch("l_extendedprice").alias("a" if even else "b"))
+    about = half(True).crossJoin(half(False)).select(X.sketch_quantile(X.merge_quantile_sketches("a", "b"), 0.5).alias("m"))
+    exact = t("lineitem").agg(X.count_distinct("l_partkey").alias("d"), X.percentile("l_extendedprice", 0.46).alias("lo"), X.percentile("l_extendedprice", 0.54).alias("hi"))
+    return merged.crossJoin(exact).crossJoin(about).select("n", (F.abs(F.col("about") / F.col("d") - 1) < 0.1).alias("close"), F.col("m").between(F.col("lo"), F.col("hi")).alias("median_close"))
+
+
+@query("fn_udf_kinds", "SELECT c_custkey, c_custkey + 7 AS waited, c_custkey * 3 AS made, NULL::bigint AS failed, unnest([c_custkey, c_custkey + 1]) AS each FROM customer")
+def fn_udf_kinds(t):
+    """A coroutine, a class that each task makes once, a function that fails softly, and a generator."""
+    from sparkloom.functions import udf
+
+    @udf.func("long")
+    async def waited(k):
+        return k + 7
+
+    class Times:
+        def __init__(self, by):
+            self.by = by
+
+        def __call__(self, s):
+            return s * self.by
+
+    @udf.func("long", on_error="ignore")
+    def failed(k):
+        raise ValueError(k)
+
+    @udf.func("long")
+    def each(k):
+        yield k
+        yield k + 1
+
+    rows = t("customer").select("c_custkey", waited("c_custkey").alias("waited"), udf.stateful(Times, "long", by=3)("c_custkey").alias("made"), failed("c_custkey").alias("failed"), each("c_custkey").alias("e"))
+    return rows.select("c_custkey", "waited", "made", "failed", F.explode("e").alias("each"))
+
+
+@query("fn_tokens_round_trip", "SELECT doc_id, text FROM documents")
+def fn_tokens(t):
+    """Every text encoded with a byte vocabulary and decoded again; the vocabulary is made here: each byte is a token."""
+    import base64
+    import tempfile
+
+    with tempfile.NamedTemporaryFile("wb", suffix=".tokens", delete=False) as f:
+        f.write(b"".join(base64.b64encode(bytes([k])) + b" %d\n" % k for k in range(256)))
+    t("documents").sparkSession.sparkContext.addFile(f.name)
+    name = f.name.rpartition("/")[2]
+    return t("documents").select("doc_id", X.tokenize_decode(X.tokenize_encode("text", name), name).alias("text"))
+
+
+@query("session_temp_tables", "SELECT n_name, true AS listed, true AS there, false AS after FROM nation")
+def session_tables(t):
+    s = Session(t("nation").sparkSession)
+    name = f"loom_{uuid.uuid4().hex}"
+    s.create_temp_table(name, Frame(t("nation").select("n_name")))
+    listed, there, read = name in s.list_tables(), s.has_table(name), s.read_table(name).df
+    s.drop_table(name)
+    return read.select("n_name", F.lit(listed).alias("listed"), F.lit(there).alias("there"), F.lit(s.has_table(name)).alias("after"))
+
+
+@query("session_catalogs", "SELECT true AS catalog, true AS namespace, 3 AS three, true AS expr FROM region")
+def session_catalogs(t):
+    s = Session(t("region").sparkSession)
+    three = s.sql_expr("7 // 2")
+    return t("region").select(F.lit(s.current_catalog() in s.list_catalogs()).alias("catalog"), F.lit(s.has_namespace(s.current_namespace())).alias("namespace"), three.cast("int").alias("three"), s.sql_expr("r_name IS NOT NULL").alias("expr"))
+
+
+@query("frame_results", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation")
+def frame_results(t):
+    """What comes out as rows, columns, Arrow batches, pandas and partitions is the table itself."""
+    f = Frame(t("nation").select("n_nationkey", "n_name"))
+    spark, schema = f.spark, f.df.schema
+    out = readers.from_pydict(spark, f.to_pydict()).df
+    for rows in (f.to_pylist(), [r for b in f.to_arrow_iter(7) for r in b.to_pylist()], f.to_pandas().to_dict("records"), [r for p in f.iter_partitions() for r in p]):
+        out = out.union(spark.createDataFrame(rows, schema))
+    return out

@@ -2,11 +2,14 @@
 
 import datetime as dt
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import functions as X
 from sparkloom.frame import Frame
+from sparkloom.functions import udf
 from sparkloom.functions.windows import Window, over
 from sparkloom.session import Session, dialect
 from sparkloom.sources import readers
@@ -187,3 +190,84 @@ def test_sample_and_rows(spark):
     assert f.sample(size=150, with_replacement=True, seed=1).count_rows() == 150
     assert len(list(f.iter_rows())) == 100
     assert sum(len(p) for p in f.iter_partitions()) == 100
+
+
+def test_batches_and_samples(spark):
+    f = Frame(spark.range(0, 1000, 1, 3).selectExpr("id", "id % 7 AS v"))
+    seen = [r["n"] for r in f.into_batches(64).map_batches(lambda b: pa.RecordBatch.from_pydict({"n": [b.num_rows]}), "n long").to_pylist()]
+    assert sum(seen) == 1000 and sorted(seen) == sorted([64] * 15 + [13, 13, 14]) and f.into_batches(64).count_rows() == 1000
+    sizes = udf.batch("int", batch_size=50)(lambda s: pd.Series([len(s)] * len(s), index=s.index))
+    assert {r["n"] for r in f.select(sizes("id").alias("n")).to_pylist()} <= {50, 33, 34}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+    assert sum(b.num_rows for b in f.to_arrow_iter(100)) == 1000
+    again = Frame(f.df.repartition(5))
+    one = lambda x, **kw: sorted(r["id"] for r in x.sample(size=20, seed=3, **kw).to_pylist())
+    assert one(f) == one(again) and len(set(one(f))) == 20
+    assert [r["id"] for r in f.shuffle(seed=5).to_pylist()] == [r["id"] for r in again.shuffle(seed=5).to_pylist()]
+    assert len(one(f, with_replacement=True)) == 20 and len(f.sample(size=3000, with_replacement=True, seed=1).to_pylist()) == 3000
+    assert Frame(f.df.limit(0)).sample(size=5, with_replacement=True).to_pylist() == []
+
+
+def test_warc_ranges(spark, tmp_path):
+    """Records of a gzip file, a member each, read by ranges that cut members, and of one member."""
+    import gzip
+
+    from sparkloom.sources import readers
+
+    record = lambda k: b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:%d>\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (k, 50 + k * 13, bytes((k * 7 + i * i) % 251 for i in range(50 + k * 13)))
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(record(k)) for k in range(60)))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(record(k) for k in range(60, 80))))
+    (tmp_path / "c.warc").write_bytes(b"".join(record(k) for k in range(80, 90)))
+    for size in ("300", "100000"):
+        out = readers.read_warc(spark, str(tmp_path), rangeBytes=size).df.collect()
+        assert sorted(int(r["WARC_Record_ID"]) for r in out) == list(range(90))
+        assert all(len(r["warc_content"]) == r["Content_Length"] == 50 + int(r["WARC_Record_ID"]) * 13 for r in out)
+
+
+def test_minhash_simhash_by_loops(spark):
+    import re
+    import struct
+
+    import xxhash
+
+    from sparkloom import functions as X
+
+    texts = ["a b c d", "one", "", "the quick brown fox jumps", "x  y\tz", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", X.minhash("t", 4, 2, seed=9).alias("m"), X.simhash("t", 3).alias("s")).collect()
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    for k, m, s in rows:
+        if texts[k] is None:
+            assert m is None and s is None
+            continue
+        words = re.sub(r"\s+", " ", texts[k]).strip().split(" ")
+        grams = [" ".join(words[i : i + 2]) for i in range(len(words) - 1)] or [" ".join(words)]
+        assert m == [min(signed(xxhash.xxh64_intdigest(g.encode(), xxhash.xxh64_intdigest(struct.pack("<i", seed), 42))) for g in grams) for seed in range(9, 13)]
+        parts = [texts[k][i : i + 3] for i in range(max(1, len(texts[k]) - 2))]
+        hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+        assert s == signed(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+
+
+def test_sink_discards_and_checkpoints(spark, tmp_path):
+    from sparkloom.operators.sinks import CheckpointStore
+
+    df = spark.range(10).withColumnRenamed("id", "k")
+    store = CheckpointStore(spark, f"file://{tmp_path}/store")
+    assert store.unseen(df, "k").count() == 10 and store.runs() == []
+    store.stage(df.where("k < 4"), "k", "a")
+    assert store.unseen(df, "k").count() == 10
+    store.commit("a")
+    assert store.runs() == ["a"] and sorted(r["k"] for r in store.unseen(df, "k").collect()) == list(range(4, 10))
+    with pytest.raises(OSError, match="wasn't staged"):
+        store.commit("b")
+
+
+def test_asof_buckets_agree(spark):
+    import random
+
+    rng = random.Random(5)
+    left = Frame(spark.createDataFrame([(rng.choice("ab"), rng.choice([None, *range(200)]), k) for k in range(300)], "e string, t int, v int"))
+    right = Frame(spark.createDataFrame([(rng.choice(["a", "b", None]), t, t * 2 + j) for j, t in enumerate(rng.sample(range(200), 40))], "e string, t int, w int"))
+    for strategy in ("backward", "forward", "nearest"):
+        for by in ("e", None):
+            one, many = (sorted(map(str, left.join_asof(right, on="t", by=by, strategy=strategy, buckets=n).to_pylist())) for n in (1, 9))
+            assert one == many
