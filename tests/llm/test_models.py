@@ -260,6 +260,24 @@ def test_similar_documents(spark):
     assert all(out[2 * k] == 2 * k for k in range(n))
 
 
+def test_recall_at_the_border(spark):
+    """Of pairs whose exact similarity is 0.8 to 0.85 at least nine in ten are found."""
+    rng = np.random.default_rng(21)
+    shingles = lambda ws: {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)}
+    rows, border = [], []
+    while len(border) < 150:
+        base = [f"w{x}" for x in rng.integers(0, 20000, int(rng.integers(60, 400)))]
+        copy = list(base)
+        for _ in range(int(rng.integers(1, 12))):
+            copy[int(rng.integers(len(copy)))] = f"v{rng.integers(1 << 30)}"
+        a, b = shingles(base), shingles(copy)
+        if 0.8 <= len(a & b) / len(a | b) < 0.85:
+            border.append(len(rows))
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    out = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.mean([out[k] == out[k + 1] for k in border]) >= 0.9
+
+
 def test_wide_links_of_large_buckets():
     """A member that links to the first one is still held against the rest, in buckets of any size."""
     rng = np.random.default_rng(6)
