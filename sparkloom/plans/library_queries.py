@@ -392,7 +392,7 @@ def io_parquet(t):
 def io_text(t):
     spark = t("customer").sparkSession
     t("customer").select(F.concat_ws("|", "c_name", "c_mktsegment")).write.text(path := _scratch(spark, "text"))
-    return readers.read_text(spark, path, file_path_column="file").df.select("text", F.col("file").startswith(path.split(":")[0]).alias("named"))
+    return readers.read_text(spark, path, file_path_column="file").df.select("text", F.col("file").contains(path.rpartition("/")[2]).alias("named"))
 
 
 @query("io_warc", "SELECT page_id::varchar AS page, strlen(html) AS size, md5(html) AS digest, 'response' AS kind FROM pages")
