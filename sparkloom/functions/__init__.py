@@ -8,6 +8,7 @@ from sparkloom.functions.misc import *  # noqa: F403
 from sparkloom.functions.models import *  # noqa: F403
 from sparkloom.functions.numeric import *  # noqa: F403
 from sparkloom.functions.partitioning import *  # noqa: F403
+from sparkloom.functions.recordings import *  # noqa: F403
 from sparkloom.functions.similarity import *  # noqa: F403
 from sparkloom.functions.strings import *  # noqa: F403
 from sparkloom.functions.temporal import *  # noqa: F403

@@ -339,24 +339,3 @@ def decode_image_file(f, mode: str | None = None, on_error: str = "raise") -> Co
 def image_file_metadata(f) -> Column:
     image = decode_image_file(f)
     return F.struct(image["width"].alias("width"), image["height"].alias("height"), image["mode"].alias("mode"))
-
-
-def _needs(module: str, what: str, schema: str):
-    """Metadata by a library that may not be installed; the task raises where it isn't."""
-
-    def of(f, *args) -> Column:
-        @F.pandas_udf(schema)
-        def run(s: pd.Series) -> pd.Series:
-            import importlib
-
-            lib = importlib.import_module(module)
-            return s.map(lambda p: None if p is None else str(getattr(lib, what)(p, *args)))
-
-        return run(file_path(f))
-
-    return of
-
-
-audio_metadata = _needs("soundfile", "info", "string")
-hdf5_keys = _needs("h5py", "File", "string")
-video_metadata = _needs("av", "open", "string")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions._base import col
@@ -62,6 +62,14 @@ def prompt(messages, provider: str) -> Column:
 llm_generate = prompt
 
 
+def prompt_by_prefix(df: DataFrame, messages: str, provider: str, name: str = "output") -> DataFrame:
+    """``prompt`` with like prompts side by side, for providers that reuse the work on a common prefix.
+    Ranges of prompts make the partitions; equal prompts spread over them by a hash of the whole row."""
+    spread = F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in df.columns))
+    ordered = df.repartitionByRange(F.col(messages), spread).sortWithinPartitions(messages)
+    return ordered.withColumn(name, prompt(messages, provider))
+
+
 def run_process(args, on_error: str = "raise") -> Column:
     """Standard output of a command, given as a list column."""
 

@@ -619,3 +619,69 @@ def frame_results(t):
     for rows in (f.to_pylist(), [r for b in f.to_arrow_iter(7) for r in b.to_pylist()], f.to_pandas().to_dict("records"), [r for p in f.iter_partitions() for r in p]):
         out = out.union(spark.createDataFrame(rows, schema))
     return out
+
+
+# Models, commands, recordings.
+
+
+class _Letters:
+    """A provider that counts, so that its answers are known."""
+
+    def embed(self, texts):
+        return [[float(len(x)), float(x.count("e"))] for x in texts]
+
+    def classify(self, texts, labels):
+        return [labels[len(x) % len(labels)] for x in texts]
+
+    def generate(self, texts):
+        return [f"<{x}>" for x in texts]
+
+
+@query(
+    "fn_models",
+    """SELECT conv_id, turn, [length(text)::double, (length(text) - length(replace(text, 'e', '')))::double] AS vector,
+       CASE WHEN length(text) % 2 = 0 THEN 'even' ELSE 'odd' END AS label, '<' || text || '>' AS made, '<' || text || '>' AS again FROM conversations""",
+)
+def fn_models(t):
+    X.register_provider("letters", _Letters)
+    out = t("conversations").select("conv_id", "turn", "text", X.embed_text("text", "letters").cast("array<double>").alias("vector"), X.classify_text("text", ["even", "odd"], "letters").alias("label"), X.llm_generate("text", "letters").alias("made"))
+    return X.prompt_by_prefix(out, "text", "letters", "again").drop("text")
+
+
+@query("fn_run_process", "SELECT n_nationkey, n_name || chr(10) AS said FROM nation")
+def fn_run_process(t):
+    return t("nation").select("n_nationkey", X.run_process(F.array(F.lit("echo"), "n_name")).alias("said"))
+
+
+def _little_endian(number: str, size: int):
+    """The bytes of a SQL integer, lowest first."""
+    return F.concat(*(F.unhex(F.lpad(F.hex(F.expr(f"shiftright({number}, {8 * k}) & 255")), 2, "0")) for k in range(size)))
+
+
+@query(
+    "fn_audio",
+    """SELECT s_suppkey, 8000 AS sample_rate, 1 AS channels, (s_suppkey + 9)::double AS frames, 'WAV' AS format, 'PCM_16' AS subtype, [2 * (s_suppkey + 9)] AS doubled, [s_suppkey + 9] AS same,
+       true AS level FROM supplier""",
+)
+def fn_audio(t):
+    """A constant signal for each supplier, written as WAV: it stays constant at any rate."""
+    word = lambda s: F.encode(F.lit(s), "utf-8")
+    head = [word("RIFF"), _little_endian("36 + 2 * n", 4), word("WAVEfmt ")]
+    head += [_little_endian(v, size) for v, size in (("16", 4), ("1", 2), ("1", 2), ("8000", 4), ("16000", 4), ("2", 2), ("16", 2))]
+    head += [word("data"), _little_endian("2 * n", 4)]
+    made = t("supplier").selectExpr("s_suppkey", "s_suppkey + 9 AS n").select("s_suppkey", F.concat(*head, F.expr("unhex(repeat('0010', cast(n AS int)))")).alias("wav"))
+    files = made.select("s_suppkey", X.upload("wav", _scratch(made.sparkSession, "audio")).alias("path"))
+    f = X.audio_file("path")
+    out = files.select("s_suppkey", X.audio_metadata(f).alias("m"), X.resample(f, 16000).alias("up"), X.resample(f, 8000).alias("as_is"))
+    return out.select("s_suppkey", "m.*", F.col("up.shape").alias("doubled"), F.col("as_is.shape").alias("same"), F.forall("up.data", lambda x: F.abs(x - 0.125) < 1e-9).alias("level"))
+
+
+@query("fn_image_files", "SELECT c_custkey, 8 AS width, 8 AS height, 'RGB' AS mode, repeat('0f', 8) AS hash, true AS whole FROM customer")
+def fn_image_files(t):
+    """Images dark on the left and bright on the right, written as files; each row's hash tells the halves apart."""
+    raw = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("channels"), F.lit("RGB").alias("mode"), F.expr("unhex(repeat(repeat('10', 12) || repeat('F0', 12), 8))").alias("data"))
+    rows = t("customer").select("c_custkey", raw.alias("i"))
+    files = rows.select("c_custkey", "i", X.upload(X.encode_image("i"), F.concat(F.lit(_scratch(rows.sparkSession, "images") + "/"), F.col("c_custkey").cast("string"))).alias("path"))
+    f = X.image_file("path")
+    out = files.select("c_custkey", "i", X.image_file_metadata(f).alias("m"), X.decode_image_file(f).alias("d"))
+    return out.select("c_custkey", "m.width", "m.height", "m.mode", X.image_hash("d").alias("hash"), (F.col("d.data") == F.col("i.data")).alias("whole"))
