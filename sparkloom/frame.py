@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import aggregates as agg_functions
 from sparkloom.functions._base import col
 from sparkloom.functions.windows import ordering
-from sparkloom.operators import joins, sinks
+from sparkloom.operators import hosted, joins, sinks
 
 
 def _flat(cols) -> list:
@@ -424,6 +424,16 @@ class Frame:
     def write_sink(self, sink: sinks.Sink) -> Frame:
         return Frame(sinks.write_sink(self.df, sink))
 
+    def write_turbopuffer(self, namespace: str, **options) -> Frame:
+        """Options of the store's sink in ``operators/hosted.py``, as for the next two."""
+        return self.write_sink(hosted.TurbopufferSink(namespace, **options))
+
+    def write_bigtable(self, project_id: str, instance_id: str, table_id: str, row_key_column: str, column_family_mappings: dict[str, str], **options) -> Frame:
+        return self.write_sink(hosted.BigtableSink(project_id, instance_id, table_id, row_key_column, column_family_mappings, **options))
+
+    def write_huggingface(self, repo: str, **options) -> Frame:
+        return self.write_sink(hosted.HuggingFaceSink(repo, **options))
+
     def write_table(self, table: str, mode: str = "append") -> None:
         to = self.df.writeTo(table)
         to.append() if mode == "append" else to.createOrReplace()

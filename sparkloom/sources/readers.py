@@ -166,12 +166,16 @@ class _WarcRange(InputPartition):
 
 class _WarcReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder, self.range_bytes = options["path"], int(options.get("rangebytes", 128 << 20))
+        self.folders, self.range_bytes = options["path"].split("\n"), int(options.get("rangebytes", 128 << 20))
 
     def partitions(self) -> list[InputPartition]:
-        fs, root = open_path(self.folder)
-        info = fs.get_file_info(root)
-        files = [info] if info.is_file else [f for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.is_file and f.base_name[0] not in "._"]
+        fs, root = open_path(self.folders[0])
+        scheme = self.folders[0].removesuffix(root)
+        if not all(f.startswith(scheme) for f in self.folders):
+            raise ValueError(f"all paths must start with {scheme!r} as the first does")
+        files = []
+        for info in fs.get_file_info([f[len(scheme) :] for f in self.folders]):
+            files += [info] if info.is_file else [f for f in fs.get_file_info(pafs.FileSelector(info.path, recursive=True)) if f.is_file and f.base_name[0] not in "._"]
         out = []
         for f in sorted(files, key=lambda f: f.path):
             step = self.range_bytes if f.path.endswith(".gz") else max(f.size, 1)
@@ -185,7 +189,7 @@ class _WarcReader(DataSourceReader):
         if not part.path:
             return
         rows, held = [], 0
-        with open_path(self.folder)[0].open_input_file(part.path) as file:
+        with open_path(self.folders[0])[0].open_input_file(part.path) as file:
             for f, body in warc_records(file, part.start, part.end, part.path.endswith(".gz")):
                 when = f.pop("WARC-Date", None)
                 rows.append(
@@ -221,10 +225,10 @@ class WarcArchives(DataSource):
         return _WarcReader(dict(self.options))
 
 
-def read_warc(spark: SparkSession, path: str, **options) -> Frame:
-    """A row for each record; a task holds some megabytes of a file, or one record."""
+def read_warc(spark: SparkSession, path: str | list[str], **options) -> Frame:
+    """A row for each record; a task holds some megabytes of a file, or one record.  Several paths share one file system."""
     spark.dataSource.register(WarcArchives)
-    return Frame(spark.read.format("warc_archives").options(**options).load(path))
+    return Frame(spark.read.format("warc_archives").options(**options).load(path if isinstance(path, str) else "\n".join(path)))
 
 
 def read_sql(spark: SparkSession, sql: str, conn: str | Callable, partition_col: str | None = None, num_partitions: int = 1, schema: str | None = None, **options) -> Frame:
