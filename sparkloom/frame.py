@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import aggregates as agg_functions
 from sparkloom.functions._base import col
 from sparkloom.functions.windows import ordering
-from sparkloom.operators import hosted, joins, sinks
+from sparkloom.operators import hosted, joins, runs, sinks
 
 
 def _flat(cols) -> list:
@@ -64,6 +64,7 @@ def rebatched(batches: Iterator, size: int) -> Iterator:
 
 class Frame:
     batch_rows: int | None = None
+    collected = False
 
     def __init__(self, df: DataFrame):
         self.df = df
@@ -330,8 +331,24 @@ class Frame:
 
     def collect(self) -> Frame:
         self.df.cache().count()
+        self.collected = True
         return self
 
+    @property
+    def metrics(self) -> Frame:
+        """What Spark counted for each operator of the plan while ``collect`` ran it: rows, bytes, files, times."""
+        if not self.collected:
+            raise ValueError("no metrics before collect()")
+        return Frame(self.spark.createDataFrame(runs.metrics(self.df), "id int, operator string, metric string, value long"))
+
+    @property
+    def skipped_corrupt_files(self) -> list[tuple[str, str, bool]]:
+        """(path, reason, whether rows came before the fault) of this frame's files that can't be read to
+        their end, which a reader with ``ignore_corrupt_files`` skips; Spark only logs them, so this reads the files again."""
+        if not self.collected:
+            raise ValueError("skipped files are unknown before collect()")
+        return runs.unreadable(self.df)
+
     def show(self, n: int = 8) -> None:
         self.df.show(n)
 

@@ -103,6 +103,39 @@ def _order_nulls(sql: str) -> str:
     return "".join([*out, sql[at:]])
 
 
+class Table:
+    """A table of a session by name; reads are lazy, writes run."""
+
+    def __init__(self, session: Session, name: str):
+        self.session, self.name = session, name
+
+    def schema(self):
+        return self.session.spark.table(self.name).schema
+
+    def read(self, **options) -> Frame:
+        return Frame(self.session.spark.read.options(**options).table(self.name))
+
+    def select(self, *columns) -> Frame:
+        return self.read().select(*columns)
+
+    def show(self, n: int = 8) -> None:
+        self.read().show(n)
+
+    def write(self, f: Frame | DataFrame, mode: str = "append", **options) -> None:
+        """Columns meet by name, as the table has them; a view can't be written to."""
+        if mode not in ("append", "overwrite"):
+            raise ValueError(f"mode {mode}: append or overwrite")
+        df = f.df if isinstance(f, Frame) else f
+        df = df.select(*(F.col(f"`{c}`") for c in self.schema().names))
+        df.write.options(**options).insertInto(self.name, overwrite=mode == "overwrite")
+
+    def append(self, f: Frame | DataFrame, **options) -> None:
+        self.write(f, "append", **options)
+
+    def overwrite(self, f: Frame | DataFrame, **options) -> None:
+        self.write(f, "overwrite", **options)
+
+
 class Session:
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -162,6 +195,16 @@ class Session:
 
     table = read_table
 
+    def get_table(self, name: str) -> Table:
+        if not self.has_table(name):
+            raise ValueError(f"no table {name}")
+        return Table(self, name)
+
+    def create_table_if_not_exists(self, name: str, f: Frame, **options) -> Table:
+        if not self.has_table(name):
+            self.create_table(name, f, **options)
+        return Table(self, name)
+
     def write_table(self, name: str, f: Frame, mode: str = "append") -> None:
         f.df.write.mode(mode).saveAsTable(name)
 

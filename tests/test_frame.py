@@ -271,3 +271,48 @@ def test_asof_buckets_agree(spark):
         for by in ("e", None):
             one, many = (sorted(map(str, left.join_asof(right, on="t", by=by, strategy=strategy, buckets=n).to_pylist())) for n in (1, 9))
             assert one == many
+
+
+def test_metrics_and_skipped_files(spark, tmp_path):
+    f = make(spark, [(k % 3, k) for k in range(100)], "k int, v int").groupby("k").agg(n=F.count("v"))
+    with pytest.raises(ValueError):
+        f.metrics  # noqa: B018
+    seen = f.collect().metrics.df.where("metric = 'numOutputRows' and operator like '%Aggregate%'").collect()
+    assert 3 in {r["value"] for r in seen}
+
+    folder = str(tmp_path / "p")
+    spark.range(1000).repartition(3).write.parquet(folder)
+    whole = sorted((tmp_path / "p").glob("*.parquet"))
+    (tmp_path / "p" / "a.parquet").write_bytes(whole[0].read_bytes()[:200])
+    got = readers.read_parquet(spark, folder, schema="id long", ignore_corrupt_files=True)
+    with pytest.raises(ValueError):
+        got.skipped_corrupt_files  # noqa: B018
+    assert got.collect().count_rows() == 1000
+    (path, reason, partial), *rest = got.skipped_corrupt_files
+    assert path.endswith("a.parquet") and reason and not partial and not rest
+
+    import gzip
+
+    packed = gzip.compress(b"".join(b"%d,x\n" % (k * k) for k in range(20000)))
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "good.csv.gz").write_bytes(packed)
+    (tmp_path / "c" / "short.csv.gz").write_bytes(packed[: len(packed) // 2])
+    lines = readers.read_csv(spark, str(tmp_path / "c"), schema="a long, b string", has_headers=False, ignore_corrupt_files=True).collect()
+    assert [(p[-12:], bool(r)) for p, r, _ in lines.skipped_corrupt_files] == [("short.csv.gz", True)]
+    assert make(spark, [(1,)], "a int").collect().skipped_corrupt_files == []
+
+
+def test_table_object(spark):
+    s = Session(spark)
+    s.drop_table("kept_rows")
+    t = s.create_table_if_not_exists("kept_rows", make(spark, [(1, "a")], "k int, v string"))
+    t.append(make(spark, [("b", 2)], "v string, k int"))
+    assert listed(t.read(), "k") == [(1, "a"), (2, "b")] and t.schema().names == ["k", "v"]
+    t.overwrite(make(spark, [(3, None)], "k int, v string"))
+    assert listed(s.get_table("kept_rows").select("k"), "k") == [(3,)]
+    assert s.create_table_if_not_exists("kept_rows", make(spark, [(9, "z")], "k int, v string")).read().count_rows() == 1
+    with pytest.raises(ValueError):
+        t.write(make(spark, [(1, "a")], "k int, v string"), mode="ignore")
+    with pytest.raises(ValueError):
+        s.get_table("no_such_rows")
+    s.drop_table("kept_rows")
