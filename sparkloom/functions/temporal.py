@@ -132,7 +132,7 @@ def date_trunc(interval: str, expr, relative_to=None) -> Column:
         return F.add_months(F.trunc(start, "month"), (F.floor(gone / months) * months).cast("int")).cast("timestamp_ntz")
     width = n * _UNITS[unit]
     origin = F.lit(4 * _UNITS["day"] if unit == "week" else 0) if relative_to is None else micros(lit(relative_to))
-    return F.timestamp_micros(F.floor((micros(expr) - origin) / width) * width + origin).cast("timestamp_ntz")
+    return F.timestamp_micros(micros(expr) - F.pmod(micros(expr) - origin, F.lit(width))).cast("timestamp_ntz")
 
 
 def trunc(expr, interval: str, relative_to=None) -> Column:
@@ -140,8 +140,9 @@ def trunc(expr, interval: str, relative_to=None) -> Column:
 
 
 def to_unix_epoch(expr, time_unit: str = "s") -> Column:
+    """Whole units since 1970, cut towards it."""
     per = {"s": 10**6, "ms": 10**3, "us": 1}
-    return micros(expr) * 1000 if time_unit == "ns" else F.floor(micros(expr) / per[time_unit]).cast("long")
+    return micros(expr) * 1000 if time_unit == "ns" else F.call_function("div", micros(expr), F.lit(per[time_unit]))
 
 
 def date_add(expr, days) -> Column:

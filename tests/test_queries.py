@@ -24,6 +24,30 @@ def test_query(spark, con, name):
         assert out.count() >= 0
 
 
+def test_epochs_to_the_digit(spark, tmp_path):
+    """All digits, which ``same`` rounds: halves of a millisecond, times before 1970, beyond a double's digits, null."""
+    import duckdb
+
+    times = "2024-01-01 00:00:07.179575|2024-01-01 00:00:00.0005|2024-02-29 23:59:59.999999|1970-01-01 00:00:00|1969-12-31 23:59:59.9985|1969-12-31 23:59:59.999501|1969-12-31 23:59:59|1900-03-01 05:06:07.000001|0001-01-01 00:00:00.0005|3000-07-07 07:59:59.999999|9999-12-31 23:59:59.9994"
+    rows = ", ".join(f"({i}, TIMESTAMP '{x}')" for i, x in enumerate(times.split("|")))
+    duckdb.sql(f"COPY (SELECT i::bigint AS event_id, ts FROM (VALUES {rows}, (99, NULL)) v(i, ts)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    for sf_dir in (str(tmp_path), SF):
+        want = duckdb.connect()
+        want.execute(f"SET TimeZone='UTC'; CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
+        want = want.execute(registry.ORACLE_SQL["fn_temporal_epochs"])
+        names = [d[0] for d in want.description]
+        got = registry.QUERIES["fn_temporal_epochs"](spark, sf_dir).select(*names).orderBy("event_id").collect()
+        assert list(map(tuple, got)) == sorted(want.fetchall())
+
+
+def test_to_unix_epoch_and_trunc_by_whole_numbers(spark):
+    from sparkloom import functions as X
+
+    df = spark.sql("SELECT timestamp_ntz'1969-12-31 23:59:58.9985' AS a, timestamp_ntz'3000-07-07 07:59:59.999999' AS b, CAST(NULL AS timestamp_ntz) AS c")
+    r = df.select(*(X.to_unix_epoch(x, u) for x in "abc" for u in ("s", "ms", "us")), X.date_trunc("hour", "b").cast("string"), X.date_trunc("second", "a").cast("string")).first()
+    assert list(r) == [-1, -1001, -1001500, 32519865599, 32519865599999, 32519865599999999, None, None, None, "3000-07-07 07:00:00", "1969-12-31 23:59:58"]
+
+
 def test_entry(spark):
     import __spark_entry__
 
