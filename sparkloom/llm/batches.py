@@ -35,8 +35,8 @@ def from_bytes(blob: bytes) -> pa.RecordBatch:
     return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_arrays([pa.array([], f.type) for f in table.schema], schema=table.schema)
 
 
-def batch_table(docs: DataFrame, name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """(bid, rows) of all documents with all their columns; needs a column text."""
+def batch_table(docs: DataFrame, name: str, batch_bytes: int = BATCH_BYTES, **options: str) -> DataFrame:
+    """(bid, rows) of all documents with all their columns, written with ``options``; needs a column text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held, size, seq = TaskContext.get().partitionId(), [], 0, 0
@@ -54,7 +54,7 @@ def batch_table(docs: DataFrame, name: str, batch_bytes: int = BATCH_BYTES) -> D
         if held:
             yield flush()
 
-    return saved(docs.mapInArrow(tk.tidy(run), "bid long, rows binary"), name)
+    return saved(docs.mapInArrow(tk.tidy(run), "bid long, rows binary"), name, **options)
 
 
 def answered(batches: DataFrame, answers: DataFrame, f, schema: str) -> DataFrame:

@@ -51,6 +51,7 @@ END = tk.mix(np.array([0x656E64], tk.U))
 PROBES, LOG_BASE, MAX_LEVEL = 11, 1.5, 64
 _LOWEST = np.ceil(LOG_BASE ** np.arange(MAX_LEVEL + 1))  # least count of level q + 1
 _SALT = tk.mix(np.arange(1, (MAX_LEVEL + 2) * PROBES + 1, dtype=tk.U)).reshape(-1, PROBES)
+_BLOCK = 1 << 17  # n-grams that are hashed at a time: temporary arrays have this size, not a batch's
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -78,6 +79,9 @@ class LogFilter:
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Level of each n-gram: how many events in a row are present."""
+        return np.concatenate([self._lookup(h[a : a + _BLOCK]) for a in range(0, h.size, _BLOCK)]) if h.size else np.zeros(0, np.uint8)
+
+    def _lookup(self, h: np.ndarray) -> np.ndarray:
         segment = ((h >> np.uint64(32)).astype(np.int64) * (self.starts.size - 1)) >> 32
         start, size = self.starts[segment], np.diff(self.starts)[segment]
         out = np.zeros(h.size, np.uint8)
@@ -99,38 +103,71 @@ def segment(word: np.ndarray, word_level: np.ndarray, pair: np.ndarray, pair_lev
     if size > most_bits:
         raise ValueError(f"{events} events need {size} bits, over the {most_bits} of a segment; use more shards")
     out = np.zeros(size, bool)
-    for h, level in ((word, word_level), (pair, pair_level)):
-        for k in range(1, int(level.max(initial=0)) + 1):
-            h, level = h[level >= k], level[level >= k]
-            for probe in range(PROBES):
-                out[LogFilter.spots(h, k, probe, 0, size)] = True
+    for grams, their_levels in ((word, word_level), (pair, pair_level)):
+        for a in range(0, grams.size, _BLOCK):
+            h, level = grams[a : a + _BLOCK], their_levels[a : a + _BLOCK]
+            for k in range(1, int(level.max(initial=0)) + 1):
+                h, level = h[level >= k], level[level >= k]
+                for probe in range(PROBES):
+                    out[LogFilter.spots(h, k, probe, 0, size)] = True
     return np.packbits(out, bitorder="little")
 
 
 _UPPER = np.uint64(0xFFFFFFFF00000000)
 
 
-class Sequences:
-    """Token hashes of a slice: the words of each text and its end."""
-
-    def __init__(self, column: pa.Array):
-        data, offs = tk.flat(column)
+def _tokens(docs: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of a batch, the words of each text and its end, and each text's number of them."""
+    tokens, sizes = [np.zeros(0, tk.U)], [np.zeros(0, np.int64)]
+    for _, part in doc_slices(docs):
+        data, offs = tk.flat(part.column("text"))
         data = tk.LOWER[data]
         starts, ends, firsts = tk.words(data, offs, tk.SPACE_WORDS)
-        self.tokens = np.insert(tk.word_hashes(data, starts, ends), firsts[1:], END[0])
-        self.sizes = np.diff(firsts) + 1
-        self.firsts = np.append(0, np.cumsum(self.sizes))
-        self.before = np.concatenate([END, self.tokens[:-1]])
-        self.pairs = self.before & _UPPER | self.tokens >> np.uint64(32)
+        tokens.append(np.insert(tk.word_hashes(data, starts, ends), firsts[1:], END[0]))
+        sizes.append(np.diff(firsts) + 1)
+    return np.concatenate(tokens), np.concatenate(sizes)
+
+
+def _pairs(tokens: np.ndarray) -> np.ndarray:
+    """Each token after the one before it, and the first after an end."""
+    out = np.empty(tokens.size, tk.U)
+    out[:1], out[1:] = END, tokens[:-1]
+    out &= _UPPER
+    out |= tokens >> np.uint64(32)
+    return out
+
+
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys starts."""
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if keys.size else np.zeros(0, np.int64)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs; ``keys`` are sorted in place."""
+    keys.sort()
+    n = _heads(keys)
+    found = keys[n]
+    n[:-1] = n[1:] - n[:-1]
+    n[-1:] = keys.size - n[-1:]
+    return found, n
+
+
+def _distinct_train(keys: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs where ``held`` is false; ``keys`` are sorted in place."""
+    others, less = _distinct(keys[held])
+    found, n = _distinct(keys)
+    n[np.searchsorted(found, others)] -= less
+    return found, n
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys with the sums of their counts."""
-    keys, counts = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in zip(*parts, strict=True))
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if keys.size else np.zeros(0, np.int64)
-    return keys[new], np.add.reduceat(counts, new) if keys.size else counts
+def _merged(blobs: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of squeezed lists with the sums of their counts; a list has a key once."""
+    found, n = _distinct(np.concatenate([_unsqueeze(x)[0] for x in blobs]))
+    for x in blobs:
+        keys, counts = _unsqueeze(x)
+        many = np.flatnonzero(counts != 1)
+        n[np.searchsorted(found, keys[many])] += counts[many] - 1
+    return found, n
 
 
 def _squeeze(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -139,7 +176,7 @@ def _squeeze(keys: np.ndarray, counts: np.ndarray) -> bytes:
     return np.array([keys.size, many.size], "<i8").tobytes() + keys.tobytes() + counts[many].astype("<i8").tobytes() + many.astype("<u4").tobytes()
 
 
-def _unsqueeze(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unsqueeze(blob: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
     n, many = (int(x) for x in np.frombuffer(blob, "<i8", 2))
     counts = np.ones(n, np.int64)
     counts[np.frombuffer(blob, "<u4", many, 16 + 8 * (n + many))] = np.frombuffer(blob, "<i8", many, 16 + 8 * n)
@@ -148,10 +185,12 @@ def _unsqueeze(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _pair_parts(pairs: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For sorted pairs: an order by shard that keeps pairs sorted, the shards that occur and the bounds of each."""
-    shard = (tk.mix(pairs) >> np.uint64(32)).astype(np.int64) * shards >> 32
-    order = np.argsort(shard, kind="stable")
-    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
-    return order, shard[order[cuts]], np.append(cuts, pairs.size)
+    shard = np.empty(pairs.size, np.uint16 if shards <= 1 << 16 else np.uint32)
+    for a in range(0, pairs.size, _BLOCK):
+        shard[a : a + _BLOCK] = (tk.mix(pairs[a : a + _BLOCK]) >> np.uint64(32)).astype(np.int64) * shards >> 32
+    sizes = np.bincount(shard, minlength=shards)
+    occur = np.flatnonzero(sizes)
+    return np.argsort(shard, kind="stable"), occur, np.append(0, np.cumsum(sizes[occur]))
 
 
 _SENT = "shard long, bid long, words binary, pairs binary"
@@ -163,26 +202,26 @@ def _counts(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bid, rows in zip(batch.column("bid").to_pylist(), batch.column("rows"), strict=True):
-                words, pairs = [], []
-                docs = from_bytes(rows.as_py())
-                for _, part in doc_slices(docs, limit=4 << 20):
-                    s = Sequences(part.column("text"))
-                    train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), s.sizes)
-                    for keys, into in ((s.tokens, words), (s.pairs, pairs)):
-                        keys, back = np.unique(keys, return_inverse=True)
-                        into.append((keys, np.bincount(back, train, keys.size).astype(np.int64)))
-                if not words:
+                docs = from_bytes(rows.as_buffer())
+                words, sizes = _tokens(docs)
+                if not words.size:
                     continue
-                (word, word_n), (pair, pair_n) = _merged(words), _merged(pairs)
+                held = np.repeat(docs.column("held_out").to_numpy(zero_copy_only=False), sizes)
+                del docs
+                tk.release()
+                pair, pair_n = _distinct_train(_pairs(words), held)
+                word, word_n = _distinct_train(words, held)
+                del words, held
+                tk.release()
                 shard, cuts = by_shard(word, shards)
                 of_word = dict(zip(shard.tolist(), zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), strict=True))
                 order, shard, cuts = _pair_parts(pair, shards)
-                pair, pair_n = pair[order], pair_n[order]
                 of_pair = dict(zip(shard.tolist(), zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), strict=True))
                 for shard in sorted(of_word.keys() | of_pair.keys()):
                     a, b = of_word.get(shard, (0, 0))
                     c, d = of_pair.get(shard, (0, 0))
-                    yield pa.RecordBatch.from_pydict({"shard": [shard], "bid": [bid], "words": [_squeeze(word[a:b], word_n[a:b])], "pairs": [_squeeze(pair[c:d], pair_n[c:d])]})
+                    own = order[c:d]
+                    yield pa.RecordBatch.from_pydict({"shard": [shard], "bid": [bid], "words": [_squeeze(word[a:b], word_n[a:b])], "pairs": [_squeeze(pair[own], pair_n[own])]})
 
     return run
 
@@ -198,32 +237,38 @@ def _tally(bits: float, shards: int):
 
     def run(table: pa.Table) -> pa.Table:
         tk.release()
-        sent = [_unsqueeze(x.as_py()) for x in table.column("words")]
-        word, word_n = _merged(sent)
-        squeezed = [_unsqueeze(x.as_py()) for x in table.column("pairs")]
-        pair, pair_n = _merged(squeezed)
+        out = tallied(table)
+        tk.release()
+        return out
+
+    def tallied(table: pa.Table) -> pa.Table:
+        sent, squeezed = ([x.as_buffer() for x in table.column(c)] for c in ("words", "pairs"))
+        (word, word_n), (pair, pair_n) = _merged(sent), _merged(squeezed)
         piece = segment(word, levels(word_n), pair, levels(pair_n), _MOST_BITS, bits)
         model = LogFilter(np.append(piece, np.uint8(0)), np.array([0, 8 * piece.size]))
         word_found, pair_found = model.lookup(word), model.lookup(pair)
         stands, n, shard = level_counts(), table.num_rows, table.column("shard")[0].as_py()
-        stored = np.flatnonzero(pair_n > 0)
-        history = pair[stored] & _UPPER
-        heads = np.flatnonzero(np.append(True, history[1:] != history[:-1])) if stored.size else np.zeros(0, np.int64)
+        stored = pair_n > 0
+        history = pair[stored]
+        history &= _UPPER
+        heads = _heads(history)
         parts = np.zeros(heads.size, _PART)
         if heads.size:
             parts["history"], parts["mass"] = history[heads], np.add.reduceat(stands[pair_found[stored]], heads)
-            parts["kinds"] = np.diff(heads, append=stored.size)
+            parts["kinds"] = np.diff(heads, append=history.size)
         to, cuts = by_shard(parts["history"], shards)
-        places = [np.searchsorted(word, x) for x, _ in sent]
+        del stored, history, pair_n
+        asked_words = [_unsqueeze(x)[0] for x in sent]
+        places = [np.searchsorted(word, x) for x in asked_words]
         asked = {
             "kind": ["word"] * n,
             "shard": [shard] * n,
             "bid": table.column("bid").to_pylist(),
-            "words": [x.tobytes() for x, _ in sent],
+            "words": [x.tobytes() for x in asked_words],
             "word_n": [word_n[at].tobytes() for at in places],
             "word_levels": [word_found[at].tobytes() for at in places],
         }
-        answers = {"kind": ["pair"] * n, "shard": [shard] * n, "bid": asked["bid"], "pair_levels": [pair_found[np.searchsorted(pair, x)].tobytes() for x, _ in squeezed]}
+        answers = {"kind": ["pair"] * n, "shard": [shard] * n, "bid": asked["bid"], "pair_levels": [pair_found[np.searchsorted(pair, _unsqueeze(x)[0])].tobytes() for x in squeezed]}
         sums = {"kind": ["part"] * to.size, "shard": to.tolist(), "words": [parts[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]}
         total = {"kind": ["total"], "tokens": [int(word_n.sum())], "vocabulary": [int((word_n > 0).sum())], "mass": [float(stands[word_found[word_n > 0]].sum())]}
         schema = _arrow(_TALLY)
@@ -245,7 +290,7 @@ def _histories(key: tuple, asked: pa.Table, parts: pa.Table) -> pa.Table:
     tk.release()
     sums = np.frombuffer(b"".join(x.as_py() for x in parts.column("sums")), _PART)
     sums = sums[np.argsort(sums["history"], kind="stable")]
-    heads = np.flatnonzero(np.append(True, sums["history"][1:] != sums["history"][:-1])) if sums.size else np.zeros(0, np.int64)
+    heads = _heads(sums["history"])
     history = np.append(sums["history"][heads], np.uint64(0))
     mass, kinds = (np.append(np.add.reduceat(sums[c], heads) if heads.size else sums[c], 0) for c in ("mass", "kinds"))
     out: dict[str, list] = {"shard": [], "bid": [], "word_n": [], "word_levels": [], "mass": [], "kinds": []}
@@ -258,6 +303,9 @@ def _histories(key: tuple, asked: pa.Table, parts: pa.Table) -> pa.Table:
     return pa.table(out, schema=_arrow(_WORDS))
 
 
+#: Parquet looks at a page's size every 100 rows, which of these are many megabytes; its codecs take direct memory for a whole page.
+_SMALL_PAGES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -265,10 +313,10 @@ def score_documents(docs: DataFrame, held_out: F.Column | None = None, bits: flo
     """Score every document with the model of those that aren't held out."""
     out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0 if held_out is None else held_out
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(out, F.lit(False)).alias("held_out"))
-    batches = batch_table(slim, "lm-batches")
+    batches = batch_table(slim, "lm-batches", compression="none", **_SMALL_PAGES)  # its rows are compressed
     shards = max(8, input_bytes(batches) // shard_bytes)
     sent = batches.mapInArrow(tk.tidy(_counts(shards)), _SENT)
-    tally = saved(sent.groupBy("shard").applyInArrow(_tally(bits, shards), _TALLY), "lm-tally")
+    tally = saved(sent.groupBy("shard").applyInArrow(_tally(bits, shards), _TALLY), "lm-tally", **_SMALL_PAGES)
     tokens, vocabulary, mass = (x or 0 for x in tally.where("kind = 'total'").agg(F.sum("tokens"), F.sum("vocabulary"), F.sum("mass")).first())
     total, model_total = tokens + 0.1 * (vocabulary + 1), mass + 0.1 * (vocabulary + 1)
     asked, parts = tally.where("kind = 'word'").select("shard", "bid", "words", "word_n", "word_levels"), tally.where("kind = 'part'").select(F.col("shard").alias("to"), F.col("words").alias("sums"))
@@ -277,42 +325,43 @@ def score_documents(docs: DataFrame, held_out: F.Column | None = None, bits: flo
     answers = words.withColumn("pair_levels", F.lit(None).cast("binary")).unionByName(levels_of, allowMissingColumns=True)
 
     def run(bid: int, rows: pa.RecordBatch, found: pa.Table) -> list[pa.Table]:
+        out = scored(rows, found)
+        tk.release()
+        return out
+
+    def scored(rows: pa.RecordBatch, found: pa.Table) -> list[pa.Table]:
         stands = level_counts()
-        order = np.argsort(found.column("shard").to_numpy(), kind="stable")
+        by = np.argsort(found.column("shard").to_numpy(), kind="stable").tolist()
 
         def answer(name: str, kind: str) -> np.ndarray:
             blobs = found.column(name)
-            return np.frombuffer(b"".join(x for k in order.tolist() if (x := blobs[k].as_py()) is not None), kind)
+            return np.frombuffer(b"".join(x for k in by if (x := blobs[k].as_py()) is not None), kind)
 
-        parts = [(at, part, Sequences(part.column("text"))) for at, part in doc_slices(rows, limit=4 << 20)]
-        word = np.unique(np.concatenate([np.unique(s.tokens) for _, _, s in parts])) if parts else np.zeros(0, tk.U)
-        pairs = np.unique(np.concatenate([np.unique(s.pairs) for _, _, s in parts])) if parts else np.zeros(0, tk.U)
+        token, sizes = _tokens(rows)
+        tk.release()
+        if not sizes.size:
+            return []
+        pairs, word = _distinct(_pairs(token))[0], _distinct(token.copy())[0]
         pair_levels = np.zeros(pairs.size, np.uint8)
         pair_levels[_pair_parts(pairs, shards)[0]] = answer("pair_levels", "u1")
+        tk.release()
         counts, mass, kinds = answer("word_n", "<i8"), answer("mass", "<f8"), answer("kinds", "<i8")
         log_base = np.log10((counts + 0.1) / total)
         p_word = (stands[answer("word_levels", "u1")] + 0.1) / model_total
-        end = int(np.searchsorted(word, END[0]))
-        out = []
-        for _, part, s in parts:
-            at = np.searchsorted(word, s.tokens)
+        end, firsts = int(np.searchsorted(word, END[0])), np.append(0, np.cumsum(sizes))
+        n_known, base, score, a = np.zeros(sizes.size, np.int64), np.zeros(sizes.size), np.zeros(sizes.size), 0
+        while a < sizes.size:  # some texts at a time, each after an end
+            b = max(a + 1, int(np.searchsorted(firsts, firsts[a] + _BLOCK, "right")) - 1)
+            own, first = token[firsts[a] : firsts[b]], firsts[a : b + 1] - firsts[a]
+            at = np.searchsorted(word, own)
             before = np.append(end, at[:-1])
-            joint, kind = stands[pair_levels[np.searchsorted(pairs, s.pairs)]], kinds[before]
+            joint, kind = stands[pair_levels[np.searchsorted(pairs, _pairs(own))]], kinds[before]
             seen = kind > 0
             logs = np.log10(np.where(seen, (joint + kind * p_word[at]) / np.where(seen, mass[before] + kind, 1), p_word[at]))
-            out.append(
-                pa.table(
-                    {
-                        "doc_id": part.column("doc_id"),
-                        "held_out": part.column("held_out"),
-                        "n_tokens": pa.array(s.sizes.astype(np.int64)),
-                        "n_known": pa.array(tk.per_doc(counts[at] > 0, s.firsts)),
-                        "train_tokens": pa.array(np.full(s.sizes.size, tokens, np.int64)),
-                        "base_score": pa.array(np.add.reduceat(log_base[at], s.firsts[:-1])),
-                        "score": pa.array(np.add.reduceat(logs, s.firsts[:-1])),
-                    }
-                )
-            )
-        return out
+            n_known[a:b] = tk.per_doc(counts[at] > 0, first)
+            base[a:b], score[a:b] = np.add.reduceat(log_base[at], first[:-1]), np.add.reduceat(logs, first[:-1])
+            a = b
+        columns = {"n_tokens": sizes.astype(np.int64), "n_known": n_known, "train_tokens": np.full(sizes.size, tokens, np.int64), "base_score": base, "score": score}
+        return [pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out")} | {c: pa.array(x) for c, x in columns.items()})]
 
     return answered(batches, answers, run, SCORES)

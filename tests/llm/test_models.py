@@ -1,14 +1,17 @@
 """Classifiers on held-out labels, the language model on held-out text, the archive reader and the pipeline."""
 
 import os
+import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import licenses, lm, media, mixing, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
+from sparkloom.llm import batches, licenses, lm, media, mixing, quality_classifier, quality_rules, shared, simhash, substring_dedup, toxicity
 from sparkloom.llm.components import components, stars
 from tests.llm import brute
 
@@ -132,6 +135,57 @@ def test_lm_counts_do_not_wrap():
     assert [x.tolist() for x in lm._unsqueeze(lm._squeeze(keys, counts))] == [[0, 1, 2], [1, 5_000_000_000, 7]]
 
 
+def test_lm_memory(spark, monkeypatch):
+    """Bytes of NumPy arrays for each token of a batch that a step holds at most, in steps run here on one batch."""
+    rng, shards, most = np.random.default_rng(4), 8, {}
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.2, 2000) % 300_000) for _ in range(500)]
+    docs = pa.table({"doc_id": range(500), "text": texts, "held_out": [k % 10 == 0 for k in range(500)]})
+    n = sum(len(t.split()) + 1 for t in texts)
+
+    def measured(step, f):
+        tracemalloc.start()
+        out = f()
+        most[step] = max(most.get(step, 0), tracemalloc.get_traced_memory()[1] / n)
+        tracemalloc.stop()
+        return out
+
+    blob = batches.to_bytes(docs)
+    sent = measured("counts", lambda: list(lm._counts(shards)(iter([pa.RecordBatch.from_pydict({"bid": [0], "rows": [blob]})]))))
+    alone = {"shard": pa.array([0]), "bid": pa.array([0])}  # all in one shard, as one of a larger corpus would be
+    words, pairs = (np.concatenate([lm._unsqueeze(b.column(c)[0].as_py())[0] for b in sent]) for c in ("words", "pairs"))
+    whole = pa.table(alone | {c: pa.array([lm._squeeze(np.sort(x), np.ones(x.size, np.int64))]) for c, x in (("words", words), ("pairs", pairs))})
+    measured("tally", lambda: lm._tally(16.0, 1)(whole))
+    tally = pa.concat_tables(lm._tally(16.0, shards)(pa.Table.from_batches([b])) for b in sent)
+    kinds = np.array(tally.column("kind").to_pylist())
+    parts = tally.filter(pa.array(kinds == "part")).select(["words"]).rename_columns(["sums"])
+    asked = lm._histories((0,), tally.filter(pa.array(kinds == "word")), parts)
+    found = pa.concat_tables([asked, tally.filter(pa.array(kinds == "pair")).select(["shard", "bid", "pair_levels"])], promote_options="default")
+    monkeypatch.setattr(lm, "answered", lambda batches, answers, f, schema: f)
+    score = lm.score_documents(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
+    rows = measured("score", lambda: score(0, batches.from_bytes(blob), found))
+    assert sum(t.num_rows for t in rows) == 500
+    assert most["counts"] < 55 and most["tally"] < 42 and most["score"] < 55, most
+
+
+def test_lm_pages(spark, monkeypatch):
+    """Batches are not compressed twice, and both tables' pages are checked at each row."""
+    options, real = {}, shared.saved
+
+    def kept(df, name, **given):
+        options[name] = given
+        out = real(df, name, **given)
+        if name == "lm-batches":
+            files = Path(out._saved_at.removeprefix("file:")).glob("*.parquet")
+            options["codecs"] = {m.row_group(0).column(1).compression for m in map(pq.read_metadata, files) if m.num_row_groups}
+        return out
+
+    monkeypatch.setattr(lm, "saved", kept)
+    monkeypatch.setattr(batches, "saved", kept)
+    lm.score_documents(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
+    assert options["codecs"] == {"UNCOMPRESSED"}
+    assert all(options[t].get("parquet.page.size.row.check.min") == "1" for t in ("lm-batches", "lm-tally"))
+
+
 @pytest.mark.parametrize("query", [media.media_round_trip, lm.score_documents, simhash.near_duplicates, substring_dedup.removal_report, substring_dedup.without_repeats, simhash.deduplicated, mixing.mix, mixing.mixed_documents, licenses.scan, quality_rules.quality_metrics, quality_rules.keep_documents])
 def test_empty_tables(none, query):
     assert query(none).count() == 0
