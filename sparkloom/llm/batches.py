@@ -20,6 +20,8 @@ from sparkloom.llm import textkit as tk
 from sparkloom.llm.shared import saved
 
 BATCH_BYTES = 16 << 20
+#: Parquet looks at a page's size every 100 rows, which of these are many megabytes; its codecs take direct memory for a whole page.
+SMALL_PAGES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 
 
 def to_bytes(table: pa.Table) -> bytes:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textkit as tk
-from sparkloom.llm.batches import answered, batch_table, by_shard, doc_slices, from_bytes
+from sparkloom.llm.batches import SMALL_PAGES, answered, batch_table, by_shard, doc_slices, from_bytes
 from sparkloom.llm.shared import input_bytes, saved
 
 END = tk.mix(np.array([0x656E64], tk.U))
@@ -303,9 +303,6 @@ def _histories(key: tuple, asked: pa.Table, parts: pa.Table) -> pa.Table:
     return pa.table(out, schema=_arrow(_WORDS))
 
 
-#: Parquet looks at a page's size every 100 rows, which of these are many megabytes; its codecs take direct memory for a whole page.
-_SMALL_PAGES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
-
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -313,10 +310,10 @@ def score_documents(docs: DataFrame, held_out: F.Column | None = None, bits: flo
     """Score every document with the model of those that aren't held out."""
     out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0 if held_out is None else held_out
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(out, F.lit(False)).alias("held_out"))
-    batches = batch_table(slim, "lm-batches", compression="none", **_SMALL_PAGES)  # its rows are compressed
+    batches = batch_table(slim, "lm-batches", compression="none", **SMALL_PAGES)  # its rows are compressed
     shards = max(8, input_bytes(batches) // shard_bytes)
     sent = batches.mapInArrow(tk.tidy(_counts(shards)), _SENT)
-    tally = saved(sent.groupBy("shard").applyInArrow(_tally(bits, shards), _TALLY), "lm-tally", **_SMALL_PAGES)
+    tally = saved(sent.groupBy("shard").applyInArrow(_tally(bits, shards), _TALLY), "lm-tally", **SMALL_PAGES)
     tokens, vocabulary, mass = (x or 0 for x in tally.where("kind = 'total'").agg(F.sum("tokens"), F.sum("vocabulary"), F.sum("mass")).first())
     total, model_total = tokens + 0.1 * (vocabulary + 1), mass + 0.1 * (vocabulary + 1)
     asked, parts = tally.where("kind = 'word'").select("shard", "bid", "words", "word_n", "word_levels"), tally.where("kind = 'part'").select(F.col("shard").alias("to"), F.col("words").alias("sums"))

@@ -45,13 +45,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sparkloom.llm import textkit as tk
-from sparkloom.llm.batches import answered, batch_table, by_shard, doc_slices, from_bytes
+from sparkloom.llm.batches import SMALL_PAGES, answered, batch_table, by_shard, doc_slices, from_bytes
 from sparkloom.llm.shared import input_bytes, saved
 
 GRAM = 64
 _SEPARATOR = 0xFF  # in no UTF-8 text
 _ENTRY = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("twice", "u1")])
 SETTLED, SEND, WANTED = 1, 2, 4
+_SLICE = 1 << 18  # bytes of text hashed at a time: some tens of bytes are held for each
 
 
 def _sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
@@ -102,7 +103,7 @@ class Contexts:
 
 def _entries(docs: pa.RecordBatch, length: int) -> np.ndarray:
     parts = []
-    for _, part in doc_slices(docs):
+    for _, part in doc_slices(docs, limit=_SLICE):
         c = Contexts(*tk.flat(part.column("text")), length)
         one = np.zeros(c.anchor.size, _ENTRY)
         one["anchor"], one["context"] = c.anchor, c.context
@@ -170,7 +171,7 @@ def _act(length: int):
         mark, action = mark[order], known["action"][order]
         sent: set[int] = set()
         out = []
-        for row, part in doc_slices(docs):
+        for row, part in doc_slices(docs, limit=_SLICE):
             data, offs = tk.flat(part.column("text"))
             c = Contexts(data, offs, length)
             own = tk.mix(c.anchor ^ tk.mix(c.context))
@@ -294,6 +295,7 @@ def _expand(length: int):
         base = np.cumsum(sizes) - sizes
         text = np.frombuffer(b"\xff".join(blobs) + b"\xff", np.uint8)
         at = repeated_starts(text, length)
+        tk.release()
         owner = np.searchsorted(base, at, "right") - 1
         at = at - base[owner]
         good = table.column("wanted").to_numpy()[owner].astype(bool)
@@ -382,7 +384,7 @@ REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def removal_report(docs: DataFrame, length: int = 200) -> DataFrame:
     """What is removed of each document, and the digest of the rest."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    batches = batch_table(slim, "substring-batches")
+    batches = batch_table(slim, "substring-batches", compression="none", **SMALL_PAGES)  # its rows are compressed
     spans = repeated_spans(batches, length)
 
     def run(bid: int, rows: pa.RecordBatch, found: pa.Table) -> list[pa.Table]:
@@ -400,7 +402,7 @@ def removal_report(docs: DataFrame, length: int = 200) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """The documents with repeated bytes removed; a character cut in two goes as a whole, and n_chars follows the text."""
-    batches = batch_table(docs, "substring-batches")
+    batches = batch_table(docs, "substring-batches", compression="none", **SMALL_PAGES)  # its rows are compressed
     spans = repeated_spans(batches, length)
     schema: StructType = docs.schema
     names = docs.columns

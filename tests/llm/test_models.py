@@ -186,6 +186,43 @@ def test_lm_pages(spark, monkeypatch):
     assert all(options[t].get("parquet.page.size.row.check.min") == "1" for t in ("lm-batches", "lm-tally"))
 
 
+def test_substring_memory(spark, monkeypatch):
+    """Bytes of NumPy arrays for each byte of a batch that a step holds at most; its batches are not compressed twice, their pages checked at each row."""
+    rng = np.random.default_rng(6)
+    passages = [rng.bytes(300).hex() for _ in range(40)]
+    docs = pa.table({"text": [rng.bytes(500).hex() + passages[k % 40] for k in range(2500)]}).to_batches()[0]
+    most = {}
+
+    def measured(step, f):
+        tracemalloc.start()
+        out = f()
+        most[step] = tracemalloc.get_traced_memory()[1] / docs.nbytes
+        tracemalloc.stop()
+        return out
+
+    entries = measured("entries", lambda: substring_dedup._entries(docs, 200))
+    answers = substring_dedup._judge(pa.table({"bid": [0], "entries": [entries.tobytes()]}))
+    found = pa.concat_tables(measured("act", lambda: substring_dedup._act(200)(0, docs, answers)))
+    assert {r for r, b in zip(found.column("row").to_pylist(), found.column("bytes").to_pylist(), strict=True) if b is None} == set(range(2500))
+    assert most["entries"] < 20 and most["act"] < 20, most
+
+    kept, real = {}, shared.saved
+
+    def saved(df, name, **given):
+        out = real(df, name, **given)
+        files = Path(out._saved_at.removeprefix("file:")).glob("*.parquet")
+        kept[name] = given, {m.row_group(0).column(1).compression for m in map(pq.read_metadata, files) if m.num_row_groups}
+        return out
+
+    monkeypatch.setattr(batches, "saved", saved)
+    one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for query in (substring_dedup.without_repeats, substring_dedup.removal_report):
+        kept.clear()
+        query(one)
+        given, codecs = kept["substring-batches"]
+        assert codecs == {"UNCOMPRESSED"} and given.get("parquet.page.size.row.check.min") == "1"
+
+
 @pytest.mark.parametrize("query", [media.media_round_trip, lm.score_documents, simhash.near_duplicates, substring_dedup.removal_report, substring_dedup.without_repeats, simhash.deduplicated, mixing.mix, mixing.mixed_documents, licenses.scan, quality_rules.quality_metrics, quality_rules.keep_documents])
 def test_empty_tables(none, query):
     assert query(none).count() == 0
