@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, types
 from pyspark.sql import functions as F
 
@@ -101,23 +106,62 @@ def hash(*exprs, seed: int = 42, hash_function: str = "xxhash64") -> Column:  #
     return F.xxhash64(*cols) if hash_function.startswith("xx") else F.hash(*cols)
 
 
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once; Spark computes what a lambda function captures again for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def word_ngrams(text, size: int) -> Column:
     """Runs of ``size`` words; of shorter texts the whole."""
-    words = F.split(F.trim(F.regexp_replace(col(text), r"\s+", " ")), " ")
-    n = F.size(words)
-    return F.when(n >= size, F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))).otherwise(F.array(F.array_join(words, " ")))
+
+    def grams(words: Column) -> Column:
+        n = F.size(words)
+        return F.when(n >= size, F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))).otherwise(F.array(F.array_join(words, " ")))
+
+    return _bound(F.split(F.trim(F.regexp_replace(col(text), r"\s+", " ")), " "), grams)
 
 
 def minhash(text, num_hashes: int = 16, ngram_size: int = 1, seed: int = 1) -> Column:
     """The least hash of the text's word n-grams under each of ``num_hashes`` seeds."""
-    grams = word_ngrams(text, ngram_size)
-    return F.when(col(text).isNotNull(), F.transform(F.sequence(F.lit(seed), F.lit(seed + num_hashes - 1)), lambda s: F.array_min(F.transform(grams, lambda g: F.xxhash64(s, g)))))
+    least = lambda grams: F.transform(F.sequence(F.lit(seed), F.lit(seed + num_hashes - 1)), lambda s: F.array_min(F.transform(grams, lambda g: F.xxhash64(s, g))))
+    return F.when(col(text).isNotNull(), _bound(word_ngrams(text, ngram_size), least))
+
+
+#: characters whose n-grams are counted at a time, and n-grams whose hashes are kept for later texts
+_SIMHASH_CHARS, _SIMHASH_KEPT = 1 << 16, 1 << 17
+
+
+class _Hashes(dict):
+    """XXH64 by string."""
+
+    def __missing__(self, gram: str) -> int:
+        from xxhash import xxh64_intdigest
+
+        out = xxh64_intdigest(gram.encode(), 42)
+        if len(self) < _SIMHASH_KEPT:
+            self[gram] = out
+        return out
+
+
+def _simhash(text: str, size: int, hashes: _Hashes) -> int:
+    n = max(len(text) - size + 1, 1)
+    ones = np.zeros(64)
+    for start in range(0, n, _SIMHASH_CHARS):
+        part = text[start : min(start + _SIMHASH_CHARS, n) + size - 1]
+        counts = Counter(map("".join, zip(*(part[k:] for k in range(size)), strict=False)) if len(part) > size else [part])
+        found = np.fromiter(map(hashes.__getitem__, counts), "<u8", len(counts))
+        bits = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += np.fromiter(counts.values(), np.float32, len(counts)) @ bits.astype(np.float32)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
 def simhash(text, ngram_size: int = 3) -> Column:
-    """64 bits, each the majority of that bit over the hashes of all character n-grams."""
-    c = col(text)
-    n = F.char_length(c)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - ngram_size + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(c, i, F.lit(ngram_size))))
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(2 * F.size(F.filter(grams, lambda h: F.getbit(h, b) == 1)) > F.size(grams), F.shiftleft(F.lit(1).cast("long"), 0) * 0 + b).otherwise(F.lit(-1)))
-    return F.when(c.isNotNull(), F.aggregate(F.filter(bits, lambda b: b >= 0), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b.cast("int")))))
+    """64 bits, each the majority of that bit over the hashes (Spark's xxhash64) of all character n-grams."""
+
+    @F.pandas_udf("long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = _Hashes()
+        for s in batches:
+            yield pd.Series([None if t is None else _simhash(t, ngram_size, hashes) for t in s], dtype="Int64")
+
+    return run(col(text))
