@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom import functions as X
-from sparkloom.plans.registry import query
+from sparkloom.plans.registry import query, rounded
 
 
 def _r(c, n, digits=6):
-    return F.round(c, digits).alias(n)
+    return rounded(c, digits).alias(n)
 
 
 @query(
@@ -134,7 +134,7 @@ def fn_micro(t):
 def fn_lists(t):
     e = F.col("embedding")
     d = F.transform(e, lambda x: x.cast("double"))
-    small = lambda c: F.transform(c, lambda x: F.round(x.cast("double"), 4))
+    small = lambda c: F.transform(c, lambda x: rounded(x.cast("double"), 4))
     return t("embeddings").select(
         "vec_id", X.list_count(e).alias("n"), _r(X.list_sum(d), "s"), _r(X.list_mean(d), "a"), _r(X.list_min(e).cast("double"), "lo"), _r(X.list_max(e).cast("double"), "hi"), F.size(X.list_filter(e, lambda x: x > 0)).alias("pos"),
         _r(X.get(e, 0).cast("double"), "first"), _r(X.get(e, -1).cast("double"), "last"), small(X.list_slice(e, 1, 4)).alias("sl"), small(X.list_sort(X.list_slice(e, 0, 3))).alias("so"), F.size(X.chunk(e, 4)).cast("long").alias("ch"),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,3 +24,9 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """Doubles rounded as SQL does it: what is below 0 and rounds to it keeps its sign (-0.0), which Spark drops."""
+    out = F.round(c, digits)
+    return F.when((out == 0) & (c < 0), F.lit(-0.0)).otherwise(out)

@@ -40,6 +40,23 @@ def test_epochs_to_the_digit(spark, tmp_path):
         assert list(map(tuple, got)) == sorted(want.fetchall())
 
 
+def exact(spark, tmp_path, name, table, select):
+    """Rows of a query over a made table, and of its SQL, with all digits and signs."""
+    import duckdb
+
+    duckdb.sql(f"COPY ({select}) TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"SET TimeZone='UTC'; CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    want = con.execute(registry.ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    got = registry.QUERIES[name](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
+def test_lists_keep_the_sign_of_what_rounds_to_zero(spark, tmp_path):
+    exact(spark, tmp_path, "fn_lists", "embeddings", "SELECT 1::bigint AS vec_id, [-0.000008, 0.25, -0.00000001, -0.5, -0.0, 0.0, 0.0000001, -0.00005]::float[] AS embedding UNION ALL SELECT 2, [-1e-9, 1e-9, -1e-10, -1e-8]::float[]")
+
+
 def test_to_unix_epoch_and_trunc_by_whole_numbers(spark):
     from sparkloom import functions as X
 
