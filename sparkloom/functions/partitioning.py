@@ -79,4 +79,5 @@ def extract_day_uuid7(expr) -> Column:
 
 
 def extract_month_uuid7(expr) -> Column:
-    return partition_months(F.timestamp_millis(_uuid_millis(expr)))
+    """Months since 1970 in UTC, whatever the session's time zone."""
+    return partition_months(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(_uuid_millis(expr) / 86_400_000).cast("int")))
