@@ -52,3 +52,34 @@ def test_wav_widths(width):
 
 def test_another_format_is_none():
     assert R._wav(io.BytesIO(b"no sound at all")) is None
+
+
+def test_upload_shows_whole_files_only(tmp_path):
+    """Who reads a name while its bytes are written again gets all of them."""
+    import threading
+
+    from pyarrow import fs
+
+    from sparkloom.functions.media import _put
+
+    data, at, system = bytes(range(256)) * 65536, f"{tmp_path}/same", fs.LocalFileSystem()
+    _put(system, at, data)
+    writers = [threading.Thread(target=lambda: [_put(system, at, data) for _ in range(8)]) for _ in range(3)]
+    for w in writers:
+        w.start()
+    seen = set()
+    while any(w.is_alive() for w in writers):
+        with system.open_input_stream(at) as got:
+            seen.add(got.read() == data)
+    assert seen == {True}
+    assert [p.name for p in tmp_path.iterdir()] == ["same"]
+
+
+def test_upload_of_many_equal_texts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from sparkloom import functions as X
+
+    rows = spark.range(0, 400, 1, 8).selectExpr("id", "repeat(cast(id % 2 AS string), 3000000) AS text")
+    out = rows.select("id", F.length(X.download(X.upload(F.encode("text", "utf-8"), f"file://{tmp_path}/up"))).alias("n"))
+    assert out.where("n = 3000000").count() == 400
