@@ -54,6 +54,26 @@ def test_another_format_is_none():
     assert R._wav(io.BytesIO(b"no sound at all")) is None
 
 
+@pytest.mark.parametrize("rate, to", [(8000, 16000), (8000, 11025), (44100, 8000), (48000, 44100), (3, 2), (7, 5), (16000, 8000), (8000, 8001)])
+@pytest.mark.parametrize("n", [1, 9, 33, 40, 500, 20011])
+def test_resampled_by_phases_as_by_places(rate, to, n):
+    """Weights made once for each phase against weights made for each place."""
+    x = np.random.default_rng(n).normal(size=(n, 2))
+    cut = min(1.0, to / rate)
+    places = np.arange(-(-n * to // rate)) * (rate / to)
+    want = np.concatenate([R._spread(x, places[k : k + 4096], cut, int(np.ceil(16 / cut))) for k in range(0, len(places), 4096)])
+    assert np.abs(R.resampled(x, rate, to) - want).max() < 1e-9
+
+
+def test_resampled_hour_in_seconds():
+    """An hour's samples at twice their rate, and never more at a time than a few times their bytes."""
+    import time
+
+    start = time.time()
+    out = R.resampled(np.full((8000 * 3600, 1), 0.125), 8000, 16000)
+    assert time.time() - start < 20 and out.shape == (16000 * 3600, 1) and np.abs(out - 0.125).max() < 1e-9
+
+
 def test_upload_shows_whole_files_only(tmp_path):
     """Who reads a name while its bytes are written again gets all of them."""
     import threading
