@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom import functions as X
-from sparkloom.plans.registry import query, rounded
+from sparkloom.plans.registry import query, rounded, spread
 
 
 def _r(c, n, digits=6):
@@ -235,5 +235,5 @@ def fn_circle(t):
 def fn_images(t):
     raw = F.struct(F.lit(3).alias("height"), F.lit(4).alias("width"), F.lit(3).alias("channels"), F.lit("RGB").alias("mode"), F.encode(F.rpad(F.col("c_name"), 36, "x"), "utf-8").alias("data"))
     image = X.decode_image(X.encode_image(raw))
-    rows = t("customer").select("c_custkey", image.alias("i"))
+    rows = spread(t("customer")).select("c_custkey", image.alias("i"))
     return rows.select("c_custkey", X.image_width("i").alias("w"), X.image_height("i").alias("h"), X.image_mode("i").alias("mode"), X.image_width(X.resize("i", 2, 2)).alias("w2"), X.image_mode(X.convert_image("i", "L")).alias("gray"))
