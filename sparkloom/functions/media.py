@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import re
 import struct
-import uuid
 import zlib
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -102,7 +102,7 @@ def _put(system, at: str, data: bytes) -> None:
     from pyarrow import fs
 
     if isinstance(system, fs.LocalFileSystem) or system.type_name in ("hdfs", "subtree"):
-        hidden = f"{at}.{uuid.uuid4().hex}.part"
+        hidden = f"{at}.{uuid4().hex}.part"
         try:
             with system.open_output_stream(hidden) as to:
                 to.write(data)
